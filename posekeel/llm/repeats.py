@@ -93,9 +93,12 @@ def repeated_segments(docs: DataFrame, unit: str, length: int, step: int) -> Dat
 
     The segment table is written to the shared folder, as it is read twice:
     to count grams (one partial row for each gram and task) and for the join
-    that drops those that occur once."""
+    that drops those that occur once.  The repeated grams are written too: read
+    from a table they are one plain side of the join, so Spark can split a
+    gram with very many places over tasks."""
     segments = stash(docs.select(*KEY, "_text").mapInArrow(_segment_batches(unit, length, step), SEGMENTS))
     twice = segments.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    twice = stash(twice)
     return segments.join(twice, "gram")
 
 

@@ -80,7 +80,7 @@ def repeated_word_ranges(docs: DataFrame, length: int) -> DataFrame:
     windows = stash(
         with_texts(docs.select(*KEY, "_text"), ranges_by_text(wanted), "inner").mapInArrow(_window_rows(length), "_ka long, _kb long, at int, wa long, wb long")
     )
-    twice = windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wa", "wb")
+    twice = stash(windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wa", "wb"))
     single = windows.join(twice, ["wa", "wb"]).select(*KEY, F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     return whole.unionByName(single)
 

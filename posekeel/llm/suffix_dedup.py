@@ -260,7 +260,7 @@ def repeated_byte_ranges(docs: DataFrame, length: int) -> DataFrame:
         .mapInArrow(_merge_buckets(length, step), "_ka long, _kb long, lo int, hi int, wa long, wb long, open boolean")
     )
     opened = merged.where("open")
-    twice = opened.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wa", "wb")
+    twice = stash(opened.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wa", "wb"))
     across = opened.join(twice, ["wa", "wb"])
     columns = (*KEY, "lo", "hi")
     return whole.unionByName(merged.where("not open").select(*columns)).unionByName(across.select(*columns))
