@@ -156,7 +156,7 @@ class Rolling:
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93))
+        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
 def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

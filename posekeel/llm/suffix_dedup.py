@@ -1,8 +1,10 @@
 """Byte-exact substring deduplication with merged Burrows-Wheeler transforms.
 
-Segments that hold a repeated quarter-length run (``repeats``) are split at
-their doubled run, which also is the key by which they are dealt out.  In a
-task, the segments of some keys are cut into shards; each shard gets a suffix
+Segments that hold a repeated quarter-length run (``repeats``) and a repeated
+run of twice that are split into bands: windows with nearly the same offset to
+their minimiser, which share a core of seven eighths of their bytes.  The core
+is the key by which bands are dealt out, if it occurs in two of them.  In a
+task, the bands of some keys are cut into shards; each shard gets a suffix
 order and a Burrows-Wheeler transform over symbols of a quarter length, and
 the transforms are merged by refining the interleave one symbol an iteration.
 Blocks that are still joined after four symbols are the repeated intervals:
@@ -25,7 +27,7 @@ from .repeats import KEY, copies, range_arrays, ranges_by_text, repeated_segment
 
 SHARD_BYTES = 1 << 16
 CHUNK_BYTES = 1 << 20
-GROUP_PARTS = 1024
+GROUP_PARTS = 2048
 
 # ------------------------------------------------------------ transform merge
 
@@ -153,27 +155,40 @@ def repeated_places(texts: list[bytes], length: int, step: int) -> list[np.ndarr
 # ------------------------------------------------------------------ operators
 
 
-def _part_rows(length: int):
-    """Bytes of the wanted parts of each text."""
+def _band_rows(length: int):
+    """The bands of the wanted parts of each text, with their bytes."""
+    width = max(1, length // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column("parts")
             counts = parts.value_lengths().to_numpy(zero_copy_only=False)
             flat = parts.flatten()
-            lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+            lo, hi, r = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi", "r"))
             texts = batch.column("_text")
             row = np.repeat(np.arange(len(texts)), counts)
+            # bands of a part, from its first window (r) to its last
+            high, low = r // width, (r - (hi - lo)) // width
+            n = high - low + 1
+            part = np.repeat(np.arange(len(n)), n)
+            band = high[part] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            top = np.minimum(r[part], band * width + width - 1)
+            bottom = np.maximum((r - (hi - lo))[part], band * width)
+            first = lo[part] + r[part] - top
+            last = lo[part] + r[part] - bottom
+            core = lo[part] + r[part] - band * width  # where the core begins
+            row = row[part]
             for block in text_blocks(texts):
-                raw = block.data
                 a, b = np.searchsorted(row, [block.rows[0], block.rows[-1] + 1])
+                if a == b:
+                    continue
                 base = block.offsets[row[a:b] - block.rows[0]]
-                body = [raw[s:e].tobytes() for s, e in zip((base + lo[a:b]).tolist(), (base + hi[a:b] + length).tolist())]
+                key = Rolling(BYTE_CODES[block.data])(base + core[a:b], base + core[a:b] + length - width + 1)
+                body = [block.data[s:e].tobytes() for s, e in zip((base + first[a:b]).tolist(), (base + last[a:b] + length).tolist())]
                 rows = pa.array(row[a:b])
-                pick = flat.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [pick.field("bucket"), pick.field("shards"), batch.column("_ka").take(rows), batch.column("_kb").take(rows), pick.field("lo"), pa.array(body, pa.binary())],
-                    names=["bucket", "shards", "_ka", "_kb", "at", "body"],
+                    [pa.array(signed(key)), batch.column("_ka").take(rows), batch.column("_kb").take(rows), pa.array(first[a:b].astype(np.int32)), pa.array(body, pa.binary())],
+                    names=["core", "_ka", "_kb", "at", "body"],
                 )
 
     return run
@@ -237,24 +252,24 @@ def repeated_byte_ranges(docs: DataFrame, length: int) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("right_ext").alias("ext"), F.greatest(F.lit(0), F.col("r") - middle).alias("i"), last.alias("j")),
         F.struct(F.lit(1).alias("side"), F.col("left_ext").alias("ext"), F.lit(0).alias("i"), F.least(last, F.col("r") - middle - 1).alias("j")),
     )
-    parts = distinct.select("gram", "copies", "place.*", F.explode(sides).alias("p")).select("gram", "copies", *KEY, "at", "p.*").where("i <= j")
+    parts = distinct.select("gram", "copies", "place.*", "r", F.explode(sides).alias("p")).select("gram", "copies", "r", *KEY, "at", "p.*").where("i <= j")
     groups = (
         parts.groupBy("gram", "side", "ext")
         .agg(F.count(F.lit(1)).alias("parts"), F.sum((F.col("copies") == 1).cast("int")).alias("alone"))
         .where("parts > 1 and alone > 0")
-        .select("gram", "side", "ext", F.ceil(F.col("parts") / GROUP_PARTS).cast("int").alias("shards"))
+        .select("gram", "side", "ext")
     )
-    wanted = parts.join(groups, ["gram", "side", "ext"]).select(
+    wanted = parts.join(stash(groups), ["gram", "side", "ext"]).select(
         *KEY,
-        F.struct(
-            F.xxhash64("gram", "side", "ext", F.pmod(F.xxhash64(*KEY, "at"), F.col("shards"))).alias("bucket"),
-            "shards",
-            (F.col("at") + F.col("i")).alias("lo"),
-            (F.col("at") + F.col("j")).alias("hi"),
-        ).alias("part"),
+        F.struct((F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("j")).alias("hi"), (F.col("r") - F.col("i")).alias("r")).alias("part"),
     )
     by_text = wanted.groupBy(*KEY).agg(F.collect_list("part").alias("parts"))
-    bodies = with_texts(docs.select(*KEY, "_text"), by_text, "inner").mapInArrow(_part_rows(length), "bucket long, shards int, _ka long, _kb long, at int, body binary")
+    bands = stash(with_texts(docs.select(*KEY, "_text"), by_text, "inner").mapInArrow(_band_rows(length), "core long, _ka long, _kb long, at int, body binary"))
+    cores = stash(bands.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shards = F.ceil(F.col("c") / GROUP_PARTS).cast("int")
+    bodies = bands.join(cores, "core").select(
+        F.xxhash64("core", F.pmod(F.xxhash64(*KEY, "at"), shards)).alias("bucket"), shards.alias("shards"), *KEY, "at", "body"
+    )
     merged = stash(
         bodies.repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(_merge_buckets(length, step), "_ka long, _kb long, lo int, hi int, wa long, wb long, open boolean")
