@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import decontaminate
+from .mixing import mix_sources
+from .quality_classifier import quality_classifier
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), length=13, spans=False)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), length=35, keep_text=False)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(read_table(spark, sf_dir, "documents")).select("doc_id", "p_bad", "kept")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"), length=400, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_suffix_dedup)}
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_quality_classifier, op5_suffix_dedup, op10_mix_sources)}
 ORACLES: dict[str, str] = {}
