@@ -1,15 +1,67 @@
-"""Corpus pipeline: stages over the documents table."""
+"""Corpus pipeline: from raw documents to a deduplicated, decontaminated mix.
+
+Each stage takes (spark, docs, sf_dir) and returns rows with the columns of
+documents; the last adds what the mix takes of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from posekeel.llm.common import read_table, stash
+from posekeel.llm.decontaminate import drop_contaminated
+from posekeel.llm.line_dedup import line_dedup
+from posekeel.llm.minhash_dedup import keep_one
+from posekeel.llm.mixing import mix_sources
+from posekeel.llm.quality_classifier import quality_classifier
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier rejects go."""
+    return quality_classifier(docs).where("kept").select(*docs.columns)
+
+
+def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site lines stay in one document each; a document of which nothing
+    is left goes.  n_chars follows the text."""
+    got = line_dedup(docs).where("n_removed = 0 or trim(text) <> ''")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return got.withColumn("n_chars", length).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return keep_one(docs)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words in benchmark passages go."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; documents the mix does not take go."""
+    return mix_sources(docs).where("taken > 0")
+
+
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("line dedup", remove_boilerplate_lines),
+    ("minhash near-dedup", remove_near_duplicates),
+    ("benchmark decontamination", remove_contaminated),
+    ("mixing sources to target weights", mix),
+]
 
-STAGES: list = []
+#: no SQL: the classifier, the weighted samples and the knapsack have none
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each written to the shared folder and reread."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs)
     return docs

@@ -146,3 +146,18 @@ def decontaminate(
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
     names = [c for c in schema.names if c not in ("_id", "spans")]
     return judged.select(F.col("_id").alias(id_col), *names, contaminated.alias("contaminated"), *(["spans"] if spans else []))
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 13) -> DataFrame:
+    """The rows of ``df`` that are not contaminated, with all their columns;
+    rules and odd cases as in ``decontaminate``."""
+    items = ((("" if r[0] is None else str(r[0])), r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator())
+    blocks = [df.sparkSession.sparkContext.broadcast(b) for b in window_blocks(items, length)]
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema)])
+    for c in ("n_words", "n_hit", "n_items"):
+        schema.add(c, T.LongType())
+    schema.add("items_sha256", T.StringType())
+    judged = df.toDF(*names).mapInArrow(_scan(blocks, names, names[df.columns.index(text_col)], False), schema)
+    clean = judged.where((F.col("n_hit") == 0) | (F.col("n_hit") * 20 < F.col("n_words")))
+    return clean.select(*names).toDF(*df.columns)

@@ -9,6 +9,7 @@ from .common import read_table
 from .decontaminate import decontaminate
 from .html_extraction import extract_text
 from .line_dedup import line_dedup
+from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -38,6 +39,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"), length=400, keep_text=False)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(read_table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
@@ -59,7 +64,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_substring_dedup, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup,
-        op7_warc_revisits, op8_html_extraction, op9_line_dedup, op10_mix_sources,
+        op6_minhash_dedup, op7_warc_revisits, op8_html_extraction, op9_line_dedup, op10_mix_sources,
     )
 }
 ORACLES: dict[str, str] = {}
