@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 BLANKS = r"[\x20\x09-\x0D]+"
 #: bins of the multinomials: the table that is broadcast has so many rows
 BINS = 1 << 16
@@ -80,7 +82,8 @@ def _gram_bins(docs: DataFrame, text: str) -> DataFrame:
 def log_ratios(docs: DataFrame, text: str, flag: str) -> DataFrame:
     """(bin, ratio): scaled log of the trusted against the raw multinomial.
     Every n-gram of every row is counted, with map-side combination."""
-    counts = _gram_bins(docs.select(text, flag), text).groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum(F.col(flag).cast("long")).alias("trusted"))
+    grams = _gram_bins(docs.select(text, flag), text)
+    counts = stash(grams.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum(F.col(flag).cast("long")).alias("trusted")))
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("trusted").alias("all_trusted")).first()
     share = (totals["all_trusted"] or 0) / (totals["all_raw"] or 1)
     ratio = F.log((F.col("trusted") + PSEUDO) / (F.col("raw") * F.lit(share) + PSEUDO))
