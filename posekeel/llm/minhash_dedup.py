@@ -5,11 +5,12 @@ frequency, counted over all documents in hashed bins.  Consistent weighted
 samples are banded; documents that share a band are candidates, and a pair is
 linked if the exact weighted Jaccard similarity reaches the threshold.
 
-Copies are one node from the start.  Within a band's group, pairs are made of
-a few centres and the members that are in another component than theirs; a
-node that was a centre has been compared with all and leaves the group, and a
-group is settled once those left are one component.  So no link that would
-join two components is missed, and a group of copies costs few pairs a member.
+Copies are one node from the start.  In a band's group, a few centres are first
+compared with the members that are in another component than theirs.  Members
+that then still are outside the group's largest component are compared, in
+blocks, with all members of other components; pairs are not made into rows.  So
+no link that would join two components is missed, and a group of copies costs
+a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ BANDS = 10
 BAND_ROWS = 3
 #: bins of document frequencies: the table that is broadcast has so many
 DF_BITS = 18
+#: centres of a group in each of the first rounds
+CENTRES = (1, 4)
+#: nodes outside the largest component that are held in a block, and members
+#: that are read past it in one task
+BLOCK_NODES = 256
+SHARD_NODES = 4096
 #: bytes of a block of texts whose samples are drawn together
 SAMPLE_BLOCK = 1 << 19
 
@@ -201,36 +208,89 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _block_links(weights: Broadcast, threshold: float):
+    """Rows come by group (g), its outliers (role 0) before its members.  One
+    link is enough for an outlier and a label; a pair that shares several bands
+    is compared in the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = weights.value
+        now, block, index = None, [], None
+        for batch in batches:
+            links: list[tuple] = []
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = _sets(part.column("_text").to_pylist(), table)
+                bands = np.array(part.column("bands").to_pylist(), np.int64)
+                columns = [part.column(c).to_pylist() for c in ("g", "role", "band", "node", "label")]
+                for k, (g, role, band, node, label) in enumerate(zip(*columns)):
+                    if g != now:
+                        now, block, index, found = g, [], None, set()
+                    if role == 0:
+                        block.append((node, label, bands[k], *sets[k]))
+                        continue
+                    if index is None and block:
+                        sizes = [len(x[3]) for x in block]
+                        index = (
+                            np.concatenate([x[3] for x in block]), np.concatenate([x[4] for x in block]), np.repeat(np.arange(len(block)), sizes),
+                            np.array([x[4].sum() for x in block]), np.stack([x[2] for x in block]),
+                        )
+                    if index is None:
+                        continue
+                    h, w, owner, total, their = index
+                    own, value = sets[k]
+                    place = np.searchsorted(own, h)
+                    place[place == len(own)] = 0
+                    same = own[place] == h
+                    shared = np.bincount(owner[same], np.minimum(value[place[same]], w[same]), minlength=len(block))
+                    near = shared >= (threshold - 1e-9) * (total + value.sum() - shared)
+                    near &= ~(their[:, :band] == bands[k][:band]).any(1)
+                    for i in np.flatnonzero(near).tolist():
+                        if block[i][1] != label and (i, label) not in found:
+                            found.add((i, label))
+                            links.append((min(node, block[i][0]), max(node, block[i][0])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicate_labels(docs: DataFrame, rows: DataFrame, weights: Broadcast, threshold: float) -> DataFrame:
     """(node, label) of the nodes that share a band with another one."""
-    nodes = rows.where("node is not null").dropDuplicates(["node"]).select("node", *KEY, F.explode("bands").alias("key"))
-    pairs_of = stash(nodes)
-    several = stash(pairs_of.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
-    left = stash(pairs_of.join(several, "key"))  # members that have not been centres
-    places = left.select("node", *KEY).distinct()
-    texts = stash(docs.select(*KEY, "_text").join(places.hint("shuffle_hash"), list(KEY)).select("node", "_text"))
-    left = left.select("key", "node")
-    labels = stash(left.select("node").distinct().select("node", F.col("node").alias("label")))
-    done = None
-    step = 0
-    while True:
+    nodes = rows.where("node is not null").dropDuplicates(["node"])
+    places = stash(nodes.select("node", *KEY, "bands"))
+    banded = places.select("node", F.posexplode("bands").alias("band", "key"))
+    several = stash(banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    left = stash(banded.join(several, "key"))  # members that have not been centres
+    wanted = left.select("node").distinct()
+    texts = stash(docs.select(*KEY, "_text").join(places.join(wanted, "node").hint("shuffle_hash"), list(KEY)).select("node", "bands", "_text"))
+    labels = stash(wanted.select("node", F.col("node").alias("label")))
+    for parts in CENTRES:
         named = left.join(labels, "node")
         open_ = stash(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"))
-        if open_.isEmpty():
-            return labels
         left = stash(named.join(open_, "key"))
-        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << max(0, step - 1)))
+        part = F.pmod(F.xxhash64("node", F.lit(parts)), F.lit(parts))
         centres = stash(left.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("own")))
-        pairs = left.join(centres, "key").where("label <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stash(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
+        pairs = stash(left.join(centres, "key").where("label <> own").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
         full = pairs.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
         links = stash(full.select("a", "b", "ta", "tb").mapInArrow(_linked(weights, threshold), "a binary, b binary"))
         labels = components(labels, links)
-        left = left.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        step += 1
+        left = left.join(centres.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node", "band")
+    left = stash(left.join(labels, "node"))
+    sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    groups = stash(
+        sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("m"), F.max("c").alias("top")).where("top < m")
+        .select("key", "major", F.ceil((F.col("m") - F.col("top")) / BLOCK_NODES).cast("int").alias("blocks"), F.ceil(F.col("m") / SHARD_NODES).cast("int").alias("shards"))
+    )
+    if groups.isEmpty():
+        return labels
+    member = left.join(groups, "key")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pick = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    out = member.where("label <> major").select("key", "node", "label", "band", F.lit(0).alias("role"), pick("blocks", 1).alias("block"), spread("shards").alias("shard"))
+    every = member.select("key", "node", "label", "band", F.lit(1).alias("role"), spread("blocks").alias("block"), pick("shards", 2).alias("shard"))
+    dealt = out.unionByName(every).select(F.xxhash64("key", "block", "shard").alias("g"), "role", "band", "node", "label")
+    full = dealt.join(texts, "node").repartition("g").sortWithinPartitions("g", "role")
+    return components(labels, stash(full.mapInArrow(_block_links(weights, threshold), "a binary, b binary")))
 
 
 def _classified(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
