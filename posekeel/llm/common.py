@@ -44,17 +44,25 @@ def remove_folder(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows: one batch of whole texts is held by
+    the JVM and by the Python worker of each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: an executor lost later costs only the tasks it ran, since
     the rows are in shared storage."""
+    small_batches(df.sparkSession)
     path = work_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
