@@ -254,10 +254,10 @@ def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDERED = g.layers_sql(_MEASURED, g.ordering(CHAIN.ordered_chains()))
 
 
-@query(f"SELECT video_idx, frame_idx, inst_idx, round(order_inversion_rate, 4) AS order_inversion_rate, CAST(chain_intersection_count AS INTEGER) AS chain_intersection_count, round(ordering_score, 4) AS ordering_score FROM {_ORDERED} o WHERE ordering_score >= 0.3")
+@query(f"SELECT video_idx, frame_idx, inst_idx, round(order_inversion_rate, 4) AS order_inversion_rate, CAST(chain_intersection_count AS INTEGER) AS chain_intersection_count, round(ordering_score, 4) AS ordering_score FROM {_ORDERED} o")
 def chain_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = g.add_layers(derived(spark, sf_dir).instances, [*g.measures(CHAIN), *g.ordering(CHAIN.ordered_chains())])
-    got = rows.where("ordering_score >= 0.3").select(*KEY, "order_inversion_rate", F.col("chain_intersection_count").cast("int").alias("chain_intersection_count"), "ordering_score")
+    got = rows.select(*KEY, "order_inversion_rate", F.col("chain_intersection_count").cast("int").alias("chain_intersection_count"), "ordering_score")
     return rounded(got, "order_inversion_rate", "ordering_score")
 
 
