@@ -329,10 +329,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_ka").alias("a"), F.col("_kb").alias("b"))
     chosen = rows.where("label is not null").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.a").alias("_ka"), F.col("r.b").alias("_kb"))
     bare = rows.where("label is null").select(*KEY)
-    number = stash(rows.join(chosen.unionByName(bare).distinct(), list(KEY)).groupBy(*KEY, F.col("label").isNull().alias("bare")).agg(F.count(F.lit(1)).alias("c")))
+    number = stash(rows.join(chosen.unionByName(bare).distinct(), list(KEY)).groupBy(*KEY, F.col("label").isNull().alias("_bare")).agg(F.count(F.lit(1)).alias("_c")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = {"_ka": F.xxhash64(F.col(id_col), text), "_kb": F.xxhash64(F.lit(17), F.length(text), text, F.col(id_col))}
     kept = df.withColumns(keys).join(number.hint("shuffle_hash"), list(KEY))
-    single = kept.where("c = 1 or bare")
-    repeated = kept.where("c > 1 and not bare").dropDuplicates(list(KEY))
+    single = kept.where("_c = 1 or _bare")
+    repeated = kept.where("_c > 1 and not _bare").dropDuplicates(list(KEY))
     return single.unionByName(repeated).select(*df.columns)

@@ -142,15 +142,18 @@ def mix_sources(
     edges = (
         bins.withColumn("upto", F.sum("c").over(running))
         .join(quotas, ["_s", "_n"])
-        .select("_s", "_n", "_bin", "source_size", "target", "passes", F.greatest(F.lit(0), F.least(F.col("c"), F.col("quota") - F.col("upto") + F.col("c"))).alias("_take"), "c")
+        .select(
+            "_s", "_n", "_bin", F.col("source_size").alias("_total"), F.col("target").alias("_target"), F.col("passes").alias("_passes"),
+            F.greatest(F.lit(0), F.least(F.col("c"), F.col("quota") - F.col("upto") + F.col("c"))).alias("_take"), F.col("c").alias("_c"),
+        )
     )
     marked = docs.join(edges, ["_s", "_n", "_bin"])
     # A bin is taken whole, not at all, or (one bin for each source and
     # length) in part; only the last needs an order.
-    part = (F.col("_take") > 0) & (F.col("_take") < F.col("c"))
+    part = (F.col("_take") > 0) & (F.col("_take") < F.col("_c"))
     ranked = marked.where(part).withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_n", "_bin").orderBy("_h", F.col(id_col))))
     whole = marked.where(~part).withColumn("_rank", F.lit(1))
     both = whole.unionByName(ranked)
     extra = F.when(F.col("_rank") <= F.col("_take"), 1).otherwise(0)
-    taken = (F.col("_n") * (F.col("passes") + extra)).cast("long")
-    return both.select(*own, F.col("_n").alias("size"), "source_size", "target", taken.alias("taken"))
+    taken = (F.col("_n") * (F.col("_passes") + extra)).cast("long")
+    return both.select(*own, F.col("_n").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))

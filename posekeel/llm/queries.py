@@ -11,6 +11,7 @@ from .html_extraction import extract_text
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
+from .oracles import ORACLES
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -67,4 +68,5 @@ QUERIES = {
         op6_minhash_dedup, op7_warc_revisits, op8_html_extraction, op9_line_dedup, op10_mix_sources,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
