@@ -366,7 +366,7 @@ def queue_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FRAME_FLAGS} SELECT video_idx, frame_idx, greatest(CASE WHEN NOT is_negative AND n <> expected_count THEN 0.9 END, CASE WHEN NOT is_negative AND v < c THEN 0.85 END, CASE WHEN o THEN 0.7 END, CASE WHEN is_negative AND n > 0 THEN 0.45 END) AS severity,
+    f"""WITH {FRAME_FLAGS} SELECT video_idx, frame_idx, CAST(greatest(CASE WHEN NOT is_negative AND n <> expected_count THEN 0.9 END, CASE WHEN NOT is_negative AND v < c THEN 0.85 END, CASE WHEN o THEN 0.7 END, CASE WHEN is_negative AND n > 0 THEN 0.45 END) AS DOUBLE) AS severity,
     CAST(coalesce(CAST(NOT is_negative AND n <> expected_count AS INTEGER), 0) + coalesce(CAST(NOT is_negative AND v < c AS INTEGER), 0) + coalesce(CAST(o AS INTEGER), 0) + CAST(is_negative AND n > 0 AS INTEGER) AS INTEGER) AS n_detectors
     FROM counts JOIN expected USING (video_idx) LEFT JOIN worst USING (video_idx, frame_idx) CROSS JOIN cutoff
     WHERE coalesce(NOT is_negative AND n <> expected_count, false) OR coalesce(NOT is_negative AND v < c, false) OR coalesce(o, false) OR (is_negative AND n > 0)"""
