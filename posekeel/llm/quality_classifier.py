@@ -186,6 +186,7 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = 3 ** np.arange(N_VOTERS)
     for batch in batches:
+        order = batch.column("_h")
         for block in text_blocks(batch.column("_text")):
             got = features(block)
             pattern = ((votes(got) + 1) @ powers).astype(np.int64)
@@ -198,21 +199,21 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 index.append(np.concatenate([seen, binned[k]]).astype(np.int32))
                 value.append(np.concatenate([count[seen] / max(1, b - a), np.ones(len(BINS))]).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pattern), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["pattern", "index", "value"]
+                [order.take(pa.array(block.rows)), pa.array(pattern), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
+                names=["_h", "pattern", "index", "value"],
             )
 
 
-def train_scorer(rows: list, posterior: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train_scorer(sizes: np.ndarray, index: np.ndarray, value: np.ndarray, posterior: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Logistic regression on gram shares and binned features by Adam, whole
     batches, nothing left to chance.  Inputs are scaled by their root mean
-    square, and the scale is folded into the weights returned."""
-    weights, bias = np.zeros(N_WEIGHTS), 0.0
-    if not rows:
+    square, and the scale is folded into the weights returned.  ``index`` and
+    ``value`` join the inputs of all rows; ``sizes`` are how many each has."""
+    weights, bias, n = np.zeros(N_WEIGHTS), 0.0, len(sizes)
+    if not n:
         return weights, -1.0
-    index = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
-    value = np.concatenate([np.asarray(r[1], np.float64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    scale = np.sqrt(np.bincount(index, value**2, minlength=N_WEIGHTS) / len(rows)) + 1e-4
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    scale = (np.sqrt(np.bincount(index, value**2, minlength=N_WEIGHTS) / n) + 1e-4).astype(np.float32)
     scale[:N_BUCKETS] *= 30.0  # hundreds of grams against a few bins
     scale[N_BUCKETS:] = 1.0
     value = value / scale[index]
@@ -220,8 +221,8 @@ def train_scorer(rows: list, posterior: np.ndarray, epochs: int = EPOCHS) -> tup
     share = np.clip((posterior > 0.5).mean(), 0.05, 0.95)
     balance = np.where(posterior > 0.5, 0.5 / share, 0.5 / (1 - share))
     for step in range(1, epochs + 1):
-        margin = np.bincount(row, weights[index] * value, minlength=len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - posterior) * balance / len(rows)
+        margin = np.bincount(row, weights[index] * value, minlength=n) + bias
+        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - posterior) * balance / n
         grad = np.append(np.bincount(index, error[row] * value, minlength=N_WEIGHTS) + 1e-4 * weights, error.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
@@ -257,9 +258,12 @@ def fit(df: DataFrame, id_col: str, text_col: str) -> tuple[Votes, np.ndarray, f
         return Votes(0.1, np.full(N_VOTERS, 0.9)), np.zeros(N_WEIGHTS), -1.0
     model = estimate_accuracies(digits, np.array([r["n"] for r in counted], float))
     posterior = dict(zip(patterns.tolist(), model.posterior(digits)))
-    sample = source.orderBy("_h").limit(TRAIN_DOCS).select("_text").mapInArrow(_training_rows, "pattern long, index array<int>, value array<float>").collect()
-    sample.sort(key=lambda r: (r["pattern"], r["index"], r["value"]))  # sums in one order, for equal results
-    weights, bias = train_scorer([(r["index"], r["value"]) for r in sample], np.array([posterior.get(r["pattern"], 0.05) for r in sample]))
+    sample = source.orderBy("_h").limit(TRAIN_DOCS).mapInArrow(_training_rows, "_h long, pattern long, index array<int>, value array<float>").toArrow()
+    sample = sample.take(pa.array(np.argsort(sample.column("_h").to_numpy(), kind="stable"))).combine_chunks()  # sums in one order
+    lists = {c: sample.column(c).combine_chunks() for c in ("index", "value")}
+    sizes = lists["index"].value_lengths().to_numpy(zero_copy_only=False)
+    seen = np.array([posterior.get(p, 0.05) for p in sample.column("pattern").to_pylist()])
+    weights, bias = train_scorer(sizes, lists["index"].flatten().to_numpy(), lists["value"].flatten().to_numpy(), seen)
     return model, weights, bias
 
 
