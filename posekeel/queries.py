@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from posekeel.config import FEATURES, QCConfig
 from posekeel.functions import geometry as g
 from posekeel.functions.columns import dot, round_half_up
-from posekeel.operators import agreement, edits, embeddings, explain, features, flags, frame_checks, labels, structure, svm, zscore
+from posekeel.operators import agreement, edits, embeddings, explain, features, flags, frame_checks, labels, reports, structure, svm, zscore
 from posekeel.plans.engine import Run
 from posekeel.plans.pose_view import CHAIN, FRAME, FRAMES_SQL, HEIGHT, INSTANCES_SQL, KEY, WIDTH, N, derived
 from posekeel.sinks import exports
@@ -681,3 +681,55 @@ def rank_within_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings.windowed_rank(table(spark, sf_dir, "events"), "value", "event_type")
     return rows.select("event_type", "user_id", F.round("value", 6).alias("value"), F.round("rank", 6).alias("rank"))
 
+
+
+# ------------------------------------------------------------------ reports
+
+
+@query(f"SELECT video_idx, frame_idx, inst_idx, count(*) OVER (PARTITION BY video_idx, frame_idx) AS n_siblings FROM {INSTANCES_SQL} t")
+def frame_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.siblings(derived(spark, sf_dir).instances).select(*KEY, "n_siblings")
+
+
+_ALONE = " UNION ALL ".join(
+    f"SELECT '{a}' AS detector, greatest(0, count(*) FILTER (WHERE {a}) - {' - '.join(f'count(*) FILTER (WHERE {a} AND {b})' for b in FLAGS if b != a)}) AS alone FROM flags" for a in FLAGS
+)
+
+
+@query(f"WITH {LIMITS_SQL} {_ALONE}")
+def chord_remainders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.chord_remainders(flags.overlap_sizes(instance_flags(spark, sf_dir), FLAGS))
+
+
+@query(
+    f"""WITH {FRAME_FLAGS} SELECT video_idx, frame_idx, concat_ws(',', CASE WHEN NOT is_negative AND n <> expected_count THEN CASE WHEN n = 0 THEN 'Empty frame' WHEN n > expected_count THEN 'Extra instance' ELSE 'Missing instance' END END,
+    CASE WHEN NOT is_negative AND v < c THEN 'Sparse instance' END, CASE WHEN is_negative AND n > 0 THEN 'Negative' END, CASE WHEN o THEN 'Out of frame' END) AS labels
+    FROM counts JOIN expected USING (video_idx) LEFT JOIN worst USING (video_idx, frame_idx) CROSS JOIN cutoff"""
+)
+def flagging_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = frame_checks.frame_checks(derived(spark, sf_dir))
+    listed = reports.flagging_checks(got, {"count": "is_wrong_count", "sparse": "is_sparse", "negative": "is_negative_with_instances", "outOfFrame": "is_out_of_frame"})
+    return listed.select(*FRAME, F.array_join(F.transform("checks", lambda c: c["label"]), ",").alias("labels"))
+
+
+@query(
+    f"""WITH n AS ({' UNION ALL '.join(f"SELECT video_idx, frame_idx, inst_idx, '{CHAIN.names[k]}' AS node, c{k} AS z FROM {INSTANCES_SQL} t WHERE c{k} IS NOT NULL" for k in range(N))}),
+    w AS (SELECT video_idx, frame_idx, inst_idx, max(z) AS z FROM n GROUP BY ALL) SELECT video_idx, frame_idx, max(z) AS z, count(*) AS n_instances FROM w GROUP BY ALL"""
+)
+def node_rollup_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = F.array(*[F.struct(F.lit(CHAIN.names[k]).alias("node"), F.col(f"c{k}").alias("z")) for k in range(N)])
+    long = derived(spark, sf_dir).instances.select(*KEY, F.inline(nodes)).where("z is not null")
+    return reports.node_rollup(long)[1].groupBy(*FRAME).agg(F.max("z").alias("z"), F.count(F.lit(1)).alias("n_instances"))
+
+
+@query()
+def gmm_removal_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Run(derived(spark, sf_dir), QCConfig(checks={"gmm": True}))
+    return reports.removal_blame(run.instance_scores.where("gmm >= 0.99").select(*KEY), run.project, run.fitted, run.mixture_fit)
+
+
+@query()
+def instance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Run(derived(spark, sf_dir))
+    rows = explain.top_issue(run.instance_scores, FEATURES)
+    return reports.instance_verdict(rows, run.limits).where("verdict is not null").select(*KEY, "verdict", "verdict_confidence")
