@@ -10,8 +10,8 @@ from dataclasses import asdict, dataclass, field, fields, replace
 #: fixed values: the checks and whether they are on at first
 CHECKS = {
     "anomaly": True, "gmm": True, "chirality": True, "ordering": False, "poseSplit": True, "count": False, "sparse": False,
-    "confidence": False, "instConfidence": False, "negative": False, "outOfFrame": True, "duplicates": True, "dino": False,
-    "nodeDino": False, "noseAppearance": False,
+    "confidence": False, "instConfidence": False, "negative": False, "outOfFrame": True, "duplicates": True, "appearance": False,
+    "nodeAppearance": False, "bundleAppearance": False,
 }
 #: fixed values: severity of frame-level checks in the review queue
 SEVERITY = {"count": 0.9, "sparse": 0.85, "outOfFrame": 0.7, "instConfidence": 0.62, "confidence": 0.6, "negative": 0.45, "duplicates": 0.4}

@@ -14,8 +14,8 @@ from posekeel.plans.pose_view import FRAME
 #: fixed values: weights of the ranking signals, of the node signal by its
 #: scorer, the alarm percentile and the least p-value
 WEIGHTS = {"anomaly": 2.2, "gmm": 2.4, "angle": 4.5, "mean_angle": 3.5, "node": 11.0}
-NODE_WEIGHTS = {"svm": 26.4, "fewshot": 26.4, "anomalyDino": 11.0, "knn": 5.1}
-PRIORITY_SCORERS = ("anomalyDino", "svm", "fewshot")
+NODE_WEIGHTS = {"svm": 26.4, "fewshot": 26.4, "patchBank": 11.0, "knn": 5.1}
+PRIORITY_SCORERS = ("patchBank", "svm", "fewshot")
 HOT, MIN_P = 0.95, 1e-4
 
 
