@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posekeel.functions.ranks import sums_before
+
 
 def confusion(rows: DataFrame, flag: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1, accuracy and Cohen's kappa; a
@@ -53,10 +55,9 @@ def _by_value(rows: DataFrame, score: str, truth: Column) -> DataFrame:
 
 def roc_auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
     """Area under the curve by ranks, ties averaged; null with one class only.
-    The running sum is over distinct scores."""
-    counts = _by_value(rows, score, F.col(truth))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
+    Sums run over distinct scores."""
+    counts = sums_before(_by_value(rows, score, F.col(truth)), "s", ["n"])
+    wins = counts.select("p", "n", (F.col("p") * (F.col("before_n") + F.col("n") / 2)).alias("w"))
     return wins.agg(F.try_divide(F.sum("w"), F.sum("p").cast("double") * F.sum("n")).alias("roc_auc"))
 
 
@@ -65,9 +66,8 @@ def average_precision(rows: DataFrame, score: str, truth: str, order: str) -> Da
     by the order column.
 
     Ranks are offsets of the score's group plus the place inside it."""
-    counts = _by_value(rows, score, F.col(truth))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("s", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum(F.col("p") + F.col("n")).over(above), F.lit(0)).alias("c0"))
+    counts = sums_before(_by_value(rows, score, F.col(truth)).withColumn("c", F.col("p") + F.col("n")), "s", ["p", "c"], descending=True)
+    starts = counts.select("s", F.col("before_p").alias("p0"), F.col("before_c").alias("c0"))
     inside = Window.partitionBy(score).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.select(score, truth, order).withColumns({"hits": F.sum(F.col(truth).cast("long")).over(inside), "place": F.count(F.lit(1)).over(inside)})
     joined = placed.where(truth).join(starts, F.col(score) == F.col("s"))

@@ -6,53 +6,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posekeel.functions.columns import average_rank, dot, round_half_up, schema_with, unit
+from posekeel.functions.columns import dot, round_half_up, schema_with, unit
+from posekeel.functions.ranks import mean_rank, sums_before, value_counts
 
-#: limits of what is collected for a broadcast reference
-MAX_REFERENCE = 20000
+#: rows of a block of the reference that is broadcast
+BLOCK_ROWS = 20000
 
 
 def stratified_reference(df: DataFrame, group: str, order: str, share: float = 0.2, least: int = 20) -> DataFrame:
-    """Every (n / take)-th row of each group in order; take is a share of the
-    group, ``least`` rows at least."""
-    w = Window.partitionBy(group)
-    numbered = df.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    """Every (n / take)-th row of each group in order of a numeric id; take is a
+    share of the group, ``least`` rows at least."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = sums_before(df.withColumn("_one", F.lit(1)), order, ["_one"], [group]).withColumnRenamed("before__one", "_i").join(sizes, group)
     take = F.least(F.col("_n"), F.greatest(F.lit(least), round_half_up(F.col("_n") * share))).cast("long")
     t = F.ceil(F.col("_i") * take / F.col("_n"))
     kept = numbered.where((F.floor(t * F.col("_n") / take) == F.col("_i")) & (t < take))
-    return kept.drop("_i", "_n")
+    return kept.select(*df.columns)
 
 
-def _reference(df: DataFrame, id_col: str, vec_col: str) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select(id_col, vec_col).orderBy(id_col).limit(MAX_REFERENCE + 1).toPandas()
-    if len(got) > MAX_REFERENCE:
-        raise ValueError(f"a reference has {MAX_REFERENCE} rows at most; take a stratified one")
-    return got[id_col].to_numpy(), np.stack(got[vec_col].to_numpy()).astype(float) if len(got) else np.zeros((0, 0))
+def _reference_blocks(df: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The reference in blocks of bounded size, one at a time on the driver."""
+    ids, rows = [], []
+    for r in df.select(id_col, vec_col).toLocalIterator(prefetchPartitions=True):
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == BLOCK_ROWS:
+            yield np.array(ids), np.array(rows, float)
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids), np.array(rows, float)
 
 
 def knn_outlier(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, k: int = 6) -> DataFrame:
     """Adds knn: mean distance to the k nearest reference rows, never itself
-    (k is cut to one less than the reference; 0 without two)."""
-    ids, ref = _reference(reference, id_col, vec_col)
-    shared = df.sparkSession.sparkContext.broadcast((ids, ref))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, ref = shared.value
-        kk = min(k, len(ids) - 1)
-        for frame in frames:
-            out = np.zeros(len(frame))
-            for at in range(0, len(frame) if kk > 0 else 0, 512):
-                part = frame.iloc[at : at + 512]
-                d = 2 - 2 * np.stack(part[vec_col].to_numpy()).astype(float) @ ref.T
-                d[part[id_col].to_numpy()[:, None] == ids[None, :]] = np.inf
-                out[at : at + 512] = np.sqrt(np.maximum(np.partition(d, kk - 1, axis=1)[:, :kk], 0)).mean(1)
-            yield frame.assign(knn=out)
-
-    return df.mapInPandas(run, schema_with(df, knn=T.DoubleType()))
+    (k is cut to one less than the reference; 0 without two).  Each block of the
+    reference is broadcast by itself; rows carry their k least distances."""
+    size = reference.count()
+    kk = min(k, size - 1)
+    if kk <= 0:
+        return df.withColumn("knn", F.lit(0.0))
+    out = df.withColumn("_least", F.array().cast("array<double>"))
+    schema = out.schema
+
+    def step(shared: Broadcast):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, ref = shared.value
+            for frame in frames:
+                best = []
+                for at in range(0, len(frame), 512):
+                    part = frame.iloc[at : at + 512]
+                    d = 2 - 2 * np.stack(part[vec_col].to_numpy()).astype(float) @ ref.T
+                    d[part[id_col].to_numpy()[:, None] == ids[None, :]] = np.inf
+                    take = min(kk, d.shape[1])
+                    near = np.partition(d, take - 1, axis=1)[:, :take]
+                    best += [np.sort(np.concatenate([old, new]))[:kk] for old, new in zip(part["_least"], near)]
+                yield frame.assign(_least=best)
+
+        return run
+
+    for block in _reference_blocks(reference, id_col, vec_col):
+        out = out.mapInPandas(step(df.sparkSession.sparkContext.broadcast(block)), schema)
+    least = F.transform("_least", lambda d: F.sqrt(F.greatest(d, F.lit(0.0))))
+    return out.withColumn("knn", F.aggregate(least, F.lit(0.0), lambda a, d: a + d) / kk).drop("_least")
 
 
 def nearest(df: DataFrame, query_id: object, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
@@ -97,40 +117,39 @@ def prototype_scores(df: DataFrame, direction: list[float], vec_col: str) -> Dat
 
 
 def rank_blend(df: DataFrame, base: str, extra: str, alpha: float) -> DataFrame:
-    """Adds blend: weighted mean of the two ranks; with weight 0 the base as it is.
-
-    Ranks come from distinct values with their counts, so rows are not sorted
-    in one task unless all values differ."""
+    """Adds blend: weighted mean of the two ranks; with weight 0 the base as it is."""
     alpha = min(1.0, max(0.0, alpha))
     if alpha == 0:
         return df.withColumn("blend", F.col(base))
+    n = F.lit(df.count())
     for name in (base, extra):
-        values = df.groupBy(name).agg(F.count(F.lit(1)).alias("_c"))
-        below = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        n = values.agg(F.sum("_c").alias("n")).first()["n"] or 0
-        rank = (F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") - 1) / 2) / F.lit(max(n - 1, 1))
-        ranks = values.withColumn(f"_rank_{name}", rank if n > 1 else F.lit(0.5)).drop("_c")
-        df = df.join(ranks, name)
+        counts = sums_before(value_counts(df, name), name, ["_c"])
+        df = df.join(counts.select(name, mean_rank(F.col("before__c"), F.col("_c"), n).alias(f"_rank_{name}")), name)
     return df.withColumn("blend", F.col(f"_rank_{base}") * (1 - alpha) + F.col(f"_rank_{extra}") * alpha).drop(f"_rank_{base}", f"_rank_{extra}")
 
 
-def windowed_rank(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Average rank from 0 to 1 within each group."""
-    w = Window.partitionBy(group)
-    return df.withColumn("rank", average_rank(F.col(value), w, Window.partitionBy(group, value), F.count(F.lit(1)).over(w)))
+def rank_in_group(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Adds rank: from 0 to 1 within each group, ties sharing their mean."""
+    counts = sums_before(value_counts(df, value, [group]), value, ["_c"], [group])
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = counts.join(sizes, group).select(group, value, mean_rank(F.col("before__c"), F.col("_c"), F.col("_n")).alias("rank"))
+    return df.join(ranks, [group, value])
 
 
 # ------------------------------------------------------------ patch memory bank
 
 
-def memory_bank(tokens: list[np.ndarray], owners: list, budget: int = 2048) -> tuple[np.ndarray, list]:
+def memory_bank(tokens: list[np.ndarray], owners: list, budget: int = 2048, places: list[int] | None = None, size: int | None = None) -> tuple[np.ndarray, list]:
     """Up to ``budget`` tokens split evenly over crops, from rotated places.
-    ``tokens[i]`` are the unit tokens of crop ``owners[i]``."""
-    whole = sum(map(len, tokens))
+    ``tokens[i]`` are the unit tokens of crop ``owners[i]``, number ``places[i]``
+    of ``size`` crops if only those that give a token are passed."""
+    places = list(range(len(tokens))) if places is None else places
+    size = len(tokens) if size is None else size
+    whole = sum(map(len, tokens)) if size == len(tokens) else size * len(tokens[0])
     take = min(whole, max(1, budget))
     rows, own = [], []
-    for u, (t, owner) in enumerate(zip(tokens, owners)):
-        share = min(len(t), (u + 1) * take // len(tokens) - u * take // len(tokens))
+    for u, t, owner in zip(places, tokens, owners):
+        share = min(len(t), (u + 1) * take // size - u * take // size)
         picked = [(j * len(t) // share + u) % len(t) for j in range(share)]
         rows += [t[i] for i in picked]
         own += [owner] * len(picked)
@@ -154,8 +173,17 @@ def top_mean(d: np.ndarray, share: float = 0.25) -> float:
 def patch_scores(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, n_tokens: int, share: float = 0.25, budget: int = 2048) -> DataFrame:
     """Adds patch: top mean of each token's distance to its nearest bank token
     of another crop; a bank under two tokens gives 0."""
-    ids, ref = _reference(reference, id_col, vec_col)
-    bank, owners = memory_bank([tokens_of(v, n_tokens) for v in ref], ids.tolist(), budget) if len(ids) else (np.zeros((0, 1)), [])
+    size = reference.count()
+    take = min(size * n_tokens, max(1, budget))
+    # a crop gives the tokens between two multiples; most give none if there
+    # are more crops than tokens, and those are not kept on the driver
+    ids, crops, places = [], [], []
+    for u, r in enumerate(reference.select(id_col, vec_col).orderBy(id_col).toLocalIterator()):
+        if size * n_tokens <= budget or (u + 1) * take // size > u * take // size:
+            ids.append(r[0])
+            crops.append(tokens_of(r[1], n_tokens))
+            places.append(u)
+    bank, owners = memory_bank(crops, ids, budget, places, size) if ids else (np.zeros((0, 1)), [])
     shared = df.sparkSession.sparkContext.broadcast((bank, np.array(owners)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

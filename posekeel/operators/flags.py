@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posekeel.config import SEVERITY
+from posekeel.functions.ranks import sums_before, value_counts
 from posekeel.plans.pose_view import FRAME
 
 #: fixed values: weights of the ranking signals, of the node signal by its
@@ -70,13 +71,10 @@ def review_queue(frames: DataFrame, scores: Mapping[str, float], flags: Sequence
 
 
 def percentiles(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the share of measured rows with a smaller value; null stays null.
-
-    Values are counted first, so the running sum is over distinct values."""
-    values = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
+    """Adds the share of measured rows with a smaller value; null stays null."""
+    values = value_counts(rows.where(F.col(column).isNotNull()), column)
     total = values.agg(F.sum("_c").alias("n")).first()["n"] or 0
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.select(column, (F.coalesce(F.sum("_c").over(below), F.lit(0)) / F.lit(max(1, total - 1))).alias(name))
+    ranks = sums_before(values, column, ["_c"]).select(column, (F.col("before__c") / F.lit(max(1, total - 1))).alias(name))
     return rows.join(ranks, column, "left")
 
 

@@ -678,7 +678,7 @@ def half_up_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_type, user_id, round(value, 6) AS value, round(CASE WHEN n > 1 THEN (rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0) / (n - 1) ELSE 0.5 END, 6) AS rank FROM w"""
 )
 def rank_within_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embeddings.windowed_rank(table(spark, sf_dir, "events"), "value", "event_type")
+    rows = embeddings.rank_in_group(table(spark, sf_dir, "events"), "value", "event_type")
     return rows.select("event_type", "user_id", F.round("value", 6).alias("value"), F.round("rank", 6).alias("rank"))
 
 
