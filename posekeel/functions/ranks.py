@@ -25,8 +25,11 @@ def sums_before(rows: DataFrame, order: str, amounts: Sequence[str], by: Sequenc
     cuts = sorted(set(rows.select(F.col(order).cast("double").alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.001)))
     if descending:
         cuts = [-c for c in reversed(cuts)]
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
-    placed = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
+    if not cuts:  # no values at all
+        window = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"before_{a}": F.coalesce(F.sum(a).over(window), F.lit(0)) for a in amounts})
+    bucket = F.array_position(F.sort_array(F.array_append(F.lit(cuts), value)), value)
+    placed = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(0)).cast("int"))
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*by, "_bucket").agg(*[F.sum(a).alias(f"_sum_{a}") for a in amounts])
     offsets = sums.select(*by, "_bucket", *[F.coalesce(F.sum(f"_sum_{a}").over(earlier), F.lit(0)).alias(f"_off_{a}") for a in amounts])
