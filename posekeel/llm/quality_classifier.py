@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import Block, Rolling, mixed, signed, text_blocks, word_codes, word_spans
 
-#: documents, those of least hash, whose posteriors train the scorer
+#: documents, about, those of least hash, whose posteriors train the scorer
 TRAIN_DOCS = 4096
 N_BUCKETS = 1 << 14
 GRAM_BYTES = 3
@@ -258,7 +258,12 @@ def fit(df: DataFrame, id_col: str, text_col: str) -> tuple[Votes, np.ndarray, f
         return Votes(0.1, np.full(N_VOTERS, 0.9)), np.zeros(N_WEIGHTS), -1.0
     model = estimate_accuracies(digits, np.array([r["n"] for r in counted], float))
     posterior = dict(zip(patterns.tolist(), model.posterior(digits)))
-    sample = source.orderBy("_h").limit(TRAIN_DOCS).mapInArrow(_training_rows, "_h long, pattern long, index array<int>, value array<float>").toArrow()
+    # hashes are spread evenly: those below this share of their range are about
+    # TRAIN_DOCS documents, found without a sort and without moving other texts
+    share = min(1.0, TRAIN_DOCS / max(1, sum(r["n"] for r in counted)))
+    cut = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    least = source.where(F.col("_h") <= cut).groupBy("_h").agg(F.first("_text").alias("_text"))
+    sample = least.mapInArrow(_training_rows, "_h long, pattern long, index array<int>, value array<float>").toArrow()
     sample = sample.take(pa.array(np.argsort(sample.column("_h").to_numpy(), kind="stable"))).combine_chunks()  # sums in one order
     lists = {c: sample.column(c).combine_chunks() for c in ("index", "value")}
     sizes = lists["index"].value_lengths().to_numpy(zero_copy_only=False)
