@@ -8,6 +8,7 @@ memory in a Python worker depends on the block and the longest single text.
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,8 @@ def work_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "/tmp/posekeel-work"
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{root.rstrip('/')}/posekeel-{uuid.uuid4().hex}"
     atexit.register(remove_folder, spark, path)
@@ -41,7 +43,8 @@ def remove_folder(spark: SparkSession, path: str) -> None:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the JVM may be gone when the interpreter ends
-        pass
+        if path.startswith("/"):
+            shutil.rmtree(path, ignore_errors=True)
 
 
 def small_batches(spark: SparkSession) -> None:
