@@ -26,8 +26,7 @@ HASH_BINS = 1024
 
 def n_tokens(text: Column) -> Column:
     """Number of blank-separated words, null: 0."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], passes: int = MAX_PASSES) -> list[float]:
