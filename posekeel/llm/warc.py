@@ -66,7 +66,7 @@ def record_text(payload: Column | None) -> Column:
         optional("X-Page-Id", F.col("page_id")),
         optional("X-Refers-To-Page-Id", F.col("refers_to")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
-        F.octet_length(block).cast("string"),
+        (F.octet_length(http) + (F.col("payload_bytes") if payload is not None else F.lit(0))).cast("string"),
         F.lit("\r\n\r\n"),
         block,
     )
