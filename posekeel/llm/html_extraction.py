@@ -265,19 +265,23 @@ def kept_slots(tokens: list[str], wrapper: list) -> list[bool]:
     in no dropped part and, if the wrapper and the page have an article
     element, in one."""
     need = has_article(wrapper) and any(t.endswith("*") for t in tokens)
-    out: list[bool] = []
+    seen: list[tuple[bool, bool]] = []  # (could be kept, stands in a dropped part round its article)
     stack: list[str] = []
     for t in tokens:
         if t == SLOT:
             main = max((i for i, s in enumerate(stack) if s.endswith("*")), default=-1)
-            dropped = any(s.endswith("!") for s in stack)
-            site_header = "header" in stack[: main if main >= 0 else len(stack)]
-            out.append(not dropped and not site_header and (main >= 0 or not need))
+            inner, outer = stack[max(main, 0) :], stack[: max(main, 0)]
+            site_header = main < 0 and "header" in stack
+            fits = not any(s.endswith("!") for s in inner) and not site_header and (main >= 0 or not need)
+            seen.append((fits, "header" in outer or any(s.endswith("!") for s in outer)))
         elif t[0] == "/":
             stack.pop()
         else:
             stack.append(t)
-    return out
+    # an article in a part to drop (a teaser, a reader's comment) goes if
+    # there is one elsewhere; else that part is the page's frame
+    free = any(fits and not framed for fits, framed in seen)
+    return [fits and not (framed and free) for fits, framed in seen]
 
 
 # ----------------------------------------------------------------- operator

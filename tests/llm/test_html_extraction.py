@@ -31,6 +31,8 @@ def test_odd_pages():
     assert text_of("<article><p>cut of") == "cut of"
     assert text_of("<script>never ends <p>x") == ""
     assert text_of("<div role=main><p>m</p></div><div>rest</div>") == "m"
+    assert text_of("<div class='page with-sidebar'><article><p>in</p></article></div>") == "in"
+    assert text_of("<article><p>in</p></article><section class=comments><article>reader</article></section>") == "in"
     # a page without an article on a host that has them keeps its body text
     assert text_of("<body><p>plain</p></body>", ["<body><article><p>x</p></article></body>"]) == "plain"
 
