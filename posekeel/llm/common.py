@@ -225,7 +225,7 @@ def anchored_segments(grams: np.ndarray, bounds: np.ndarray, length: int, k: int
     if len(grams) < w:
         return none, none, none, none
     places = np.arange(len(grams), dtype=np.uint64)
-    mask = np.uint64((1 << 26) - 1)
+    mask = np.uint64((1 << max(26, len(grams).bit_length())) - 1)  # room for the places of a block
     least = sliding_min((grams & ~mask) | places, w)
     anchor = (least & mask).astype(np.int64)
     n = len(anchor)
