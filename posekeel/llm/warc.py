@@ -156,7 +156,9 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: i
     rank = F.struct(number.isNull().alias("none"), number.alias("id"), F.col("record_id").alias("record"), F.col("page_id").alias("page"))
     same = ["payload_digest", "payload_bytes"]
     firsts = stash(headers.where(F.col("payload_bytes") >= min_bytes).groupBy(*same).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"))
-    revisits = (
+    # As a table its size is known: Spark broadcasts it if it is under the
+    # session's limit, so that payloads stay where they are, else shuffles.
+    revisits = stash(
         headers.select("record_id", *same).join(firsts, same)
         .where(F.col("record_id") != F.col("first.record"))
         .select("record_id", F.col("first.page").alias("to_page"), F.col("first.record").alias("to_record"))
