@@ -3,8 +3,10 @@
 A page becomes a stream of block tags and text slots.  The streams of a host
 are aligned one after the other; mismatches turn into optional groups, repeats
 in a row into repeated groups, differing texts into slots.  The result is a
-union-free regular expression, the host's wrapper.  Its slots are judged once
-for the host, and each page's texts are taken by the slots they fall in.
+union-free regular expression, the host's wrapper.  Each page's texts fall
+into slots of it.  Tags and words of class, id and role rule slots out on each
+page; of the others, the wrapper counts over the host's pages how many fill a
+slot and with how many texts, and what does not vary is template.
 """
 
 from __future__ import annotations
@@ -52,6 +54,12 @@ ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s
 SLOT = "#"
 MAX_FOLD = 12
 SHARDS = 16
+#: a slot is judged if so many pages of its host fill it, each with other kept texts
+LEAST_PAGES = 5
+#: a text in one of so many of the pages that fill a slot, or more, is template
+COMMON_PAGES = 2
+#: a slot with one text or less for so many fills is template as a whole
+FILLS_PER_TEXT = 10
 
 
 def _mark(name: str, attrs: str) -> str:
@@ -251,6 +259,64 @@ def has_article(wrapper: list) -> bool:
     return any(t.endswith("*") and t[0] != "/" for t in wrapper_tokens(wrapper))
 
 
+class Places:
+    """Finds the place in a wrapper of each token of a page: the position
+    automaton of the wrapper, whose states are its tokens in order."""
+
+    def __init__(self, wrapper: list):
+        self.tokens: list[str] = []
+        self.follow: list[set[int]] = []
+        first, _, self.last = self._build(wrapper)
+        self.first = self._by_token(first)
+        self.next = [self._by_token(f) for f in self.follow]
+
+    def _build(self, seq: list) -> tuple[set[int], bool, set[int]]:
+        first, empty, last = set(), True, set()
+        for kind, body, optional in seq:
+            if kind == "t":
+                p = len(self.tokens)
+                self.tokens.append(body)
+                self.follow.append(set())
+                f, e, l = {p}, False, {p}
+            else:
+                f, e, l = self._build(body)
+                for p in l:
+                    self.follow[p] |= f
+            for p in last:
+                self.follow[p] |= f
+            e |= optional
+            first = first | f if empty else first
+            last = last | l if e else l
+            empty &= e
+        return first, empty, last
+
+    def _by_token(self, places: set[int]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for p in sorted(places):
+            out.setdefault(self.tokens[p], []).append(p)
+        return out
+
+    def of_slots(self, tokens: list[str]) -> list[int]:
+        """The place of each slot, by the least places if there are several
+        ways; -1 for all if the wrapper is not one of the page."""
+        steps: list[dict[int, int]] = []
+        for t in tokens:
+            now: dict[int, int] = {}
+            for p, options in ((p, self.next[p]) for p in sorted(steps[-1])) if steps else ((-1, self.first),):
+                for q in options.get(t, ()):
+                    now.setdefault(q, p)
+            steps.append(now)
+        ends = sorted(self.last.intersection(steps[-1])) if steps else []
+        if not ends:
+            return [-1] * tokens.count(SLOT)
+        at, out = ends[0], []
+        for t, back in zip(reversed(tokens), reversed(steps)):
+            if t == SLOT:
+                out.append(at)
+            at = back[at]
+        return out[::-1]
+
+
 def show(wrapper: list) -> str:
     """The wrapper as a regular expression of tags and slots."""
     out = []
@@ -262,8 +328,8 @@ def show(wrapper: list) -> str:
 
 def kept_slots(tokens: list[str], wrapper: list) -> list[bool]:
     """Which slots of a skeleton hold article text by its host's wrapper: those
-    in no dropped part and, if the wrapper and the page have an article
-    element, in one."""
+    in no dropped part and, if the page has an article element (then the
+    wrapper has it, too), in one.  What varies is judged in templates()."""
     need = has_article(wrapper) and any(t.endswith("*") for t in tokens)
     seen: list[tuple[bool, bool]] = []  # (could be kept, stands in a dropped part round its article)
     stack: list[str] = []
@@ -341,16 +407,38 @@ def infer_wrappers(skeletons: DataFrame) -> DataFrame:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list] = {}
+    known: dict[str, tuple[list, Places]] = {}
     for batch in batches:
-        masks = []
+        masks, places = [], []
         for s, w in zip(batch.column("skeleton").to_pylist(), batch.column("wrapper").to_pylist()):
             if w not in known:
                 if len(known) > 200:
                     known.clear()
-                known[w] = json.loads(w)
-            masks.append(kept_slots(s.split(" ") if s else [], known[w]))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("skeleton"), pa.array(masks, pa.list_(pa.bool_()))], names=["host", "skeleton", "mask"])
+                known[w] = json.loads(w), Places(json.loads(w))
+            tokens = s.split(" ") if s else []
+            masks.append(kept_slots(tokens, known[w][0]))
+            places.append(known[w][1].of_slots(tokens))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), batch.column("skeleton"), pa.array(masks, pa.list_(pa.bool_())), pa.array(places, pa.list_(pa.int32()))], names=["host", "skeleton", "mask", "places"]
+        )
+
+
+def templates(judged: DataFrame) -> DataFrame:
+    """(host, dull, common): places of the host's wrapper with few texts, and
+    hashes of place and text that stand on many pages, from (host, slots, mask,
+    places) rows.  Only slots that tags keep are counted, and pages with the
+    same kept texts count once: a copied page makes no template."""
+    slot = F.transform("slots", lambda s, i: F.struct(F.get("places", i).alias("place"), F.xxhash64(s).alias("h"), F.get("mask", i).alias("kept")))
+    fills = F.transform(F.filter(slot, lambda x: x["kept"]), lambda x: F.struct(x["place"].alias("place"), x["h"].alias("h")))
+    seen = stash(judged.select("host", fills.alias("fills")).distinct().select("host", F.array_distinct("fills").alias("fills")))
+    texts = seen.select("host", F.inline("fills")).groupBy("host", "place", "h").agg(F.count(F.lit(1)).alias("n"))
+    filled = seen.select("host", F.explode(F.array_distinct(F.transform("fills", lambda x: x["place"]))).alias("place")).groupBy("host", "place").agg(F.count(F.lit(1)).alias("pages"))
+    variety = texts.groupBy("host", "place").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("all"))
+    slots = filled.where(F.col("pages") >= LEAST_PAGES).join(variety, ["host", "place"]).withColumn("is_dull", F.col("texts") * FILLS_PER_TEXT <= F.col("all"))
+    dull = slots.where("is_dull").groupBy("host").agg(F.collect_set("place").alias("dull"))
+    often = texts.where("n > 1").join(slots.where("not is_dull"), ["host", "place"]).where(F.col("n") * COMMON_PAGES >= F.col("pages"))
+    common = often.groupBy("host").agg(F.collect_set(F.xxhash64("place", "h")).alias("common"))
+    return dull.join(common, "host", "full")
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -358,8 +446,9 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     A null page is empty and gives an empty text; a null or odd url belongs to
     the host with the empty name; repeated rows give repeated results; unclosed
-    and stray tags are repaired; other columns are not read; an empty table
-    gives no rows."""
+    and stray tags are repaired; a slot that under LEAST_PAGES differing pages
+    of its host fill is judged by tags alone; other columns are not read; an
+    empty table gives no rows."""
     source = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     schema = T.StructType(
         [T.StructField("_id", source.schema["_id"].dataType), T.StructField("_url", T.StringType())]
@@ -368,7 +457,12 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages = stash(source.mapInArrow(_tokenise(["_id", "_url"], "_url", "_html"), schema))
     skeletons = stash(pages.select("host", "skeleton").distinct())
     wrappers = stash(infer_wrappers(skeletons))
-    masks = stash(skeletons.join(wrappers, "host").mapInArrow(_judge, "host string, skeleton string, mask array<boolean>"))
-    kept = F.filter("slots", lambda s, i: F.get("mask", i))
+    masks = stash(skeletons.join(wrappers, "host").mapInArrow(_judge, "host string, skeleton string, mask array<boolean>, places array<int>"))
+    found = stash(templates(pages.join(masks, ["host", "skeleton"])))
+    listed = lambda column, x: F.coalesce(F.array_contains(column, x), F.lit(False))
+    mask = F.zip_with("mask", "places", lambda m, p: m & ~listed("dull", p)).alias("mask")
+    # one row for each skeleton, written so that its size is known to the join
+    masks = stash(masks.join(found, "host", "left").select("host", "skeleton", mask, "places", "common"))
+    kept = F.filter("slots", lambda s, i: F.get("mask", i) & ~listed("common", F.xxhash64(F.get("places", i), F.xxhash64(s))))
     text = F.array_join(kept, " ")
     return pages.join(masks, ["host", "skeleton"]).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))

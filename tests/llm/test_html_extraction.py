@@ -3,7 +3,7 @@
 import html
 import re
 
-from posekeel.llm.html_extraction import _infer, extract_text, kept_slots, page_tokens, show
+from posekeel.llm.html_extraction import Places, _infer, extract_text, kept_slots, page_tokens, show
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>no";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href=x>Menu</a><li>Two</ul></nav><div class="cookie-notice">We use cookies</div>
@@ -60,3 +60,27 @@ def test_odd_rows(spark):
     got = extract_text(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 1, 51, 100000]
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_places_are_those_of_the_wrapper():
+    pages = [f"<div><h1>t{i}</h1>{'<p>x</p>' * i}{'<h2>s</h2>' if i % 2 else ''}</div>" for i in range(1, 5)]
+    streams = [page_tokens(p)[0] for p in pages]
+    places = Places(_infer([" ".join(t) for t in streams]))
+    got = [places.of_slots(t) for t in streams]
+    assert got == [[2, 5, 8], [2, 5, 5], [2, 5, 5, 5, 8], [2, 5, 5, 5, 5]]
+    assert places.of_slots(["table", "#", "/table"]) == [-1] and places.of_slots([]) == []
+
+
+def test_what_repeats_on_a_host_is_template(spark):
+    notice, menu = "<div class=c1>We keep your data</div>", "<div><ul><li>Home<li>News<li>Contact</ul></div>"
+    advert = lambda i: f"<div><h3>Buy {i % 3}</h3></div>"
+    inside = [(i, "http://a/", f"<article>{notice}<h1>T{i}</h1><p>one {i}<p>two {i}{advert(i)}</article>") for i in range(40)]
+    plain = [(100 + i, "http://b/", f"<body>{menu}<p>only {i}</p>{'<p>more %d</p>' % i if i % 2 else ''}{notice}</body>") for i in range(40)]
+    few = [(200 + i, "http://c/", f"<body>{menu}<p>only {i}</p></body>") for i in range(3)]
+    copies = [(300 + i, "http://d/", f"<body><div class=menu>{i}</div><article><p>copied</p></article></body>") for i in range(9)]
+    frame = spark.createDataFrame(inside + plain + few + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(frame).collect()}
+    assert all(got[i] == f"T{i} one {i} two {i}" for i in range(40))
+    assert all(got[100 + i] == f"only {i}" + (f" more {i}" if i % 2 else "") for i in range(40))
+    assert all(got[200 + i] == f"Home News Contact only {i}" for i in range(3))
+    assert all(got[300 + i] == "copied" for i in range(9))
