@@ -545,6 +545,19 @@ def group_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries_.groupBy("label", "other").agg((F.round(F.avg(dot(F.col("embedding"), F.col("m"))), 4) + 0.0).alias("similarity"))
 
 
+_GROUP_MEANS_SQL = "means AS (SELECT label, list(m ORDER BY d) AS m FROM (SELECT label, d, avg(v) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS d FROM embeddings) t GROUP BY label, d) u GROUP BY label)"
+
+
+@query(f"WITH {_GROUP_MEANS_SQL} SELECT a.label, b.label AS other, round(list_inner_product(a.m, b.m), 4) + 0.0 AS similarity FROM means a CROSS JOIN means b")
+def group_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean similarity of all rows of each group to all rows of each group: the
+    mean over pairs is the product of the groups' means."""
+    sums = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    means = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("m"))
+    pairs = means.crossJoin(F.broadcast(means.select(F.col("label").alias("other"), F.col("m").alias("n"))))
+    return pairs.select("label", "other", (F.round(dot(F.col("m"), F.col("n")), 4) + 0.0).alias("similarity"))
+
+
 # ---------------------------------------------------------------- agreement
 
 _CONFUSION = """count(*) FILTER (WHERE f AND t) AS tp, count(*) FILTER (WHERE f AND NOT t) AS fp, count(*) FILTER (WHERE NOT f AND t) AS fn, count(*) FILTER (WHERE NOT f AND NOT t) AS tn"""

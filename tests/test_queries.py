@@ -34,3 +34,10 @@ def test_query(spark, duck, name):
         expected = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(expected.columns)
         assert rows(got) == rows(expected)
+
+
+def test_group_similarity_counts_all_rows(spark, tmp_path):
+    data = pd.DataFrame({"vec_id": [1, 2, 3, 50], "label": [0, 0, 1, 1], "embedding": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 0.0]]})
+    data.to_parquet(tmp_path / "embeddings.parquet")
+    got = {(r.label, r.other): r.similarity for r in QUERIES["group_similarity_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 0.5, (0, 1): 0.25, (1, 0): 0.25, (1, 1): 0.25}
