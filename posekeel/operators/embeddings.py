@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from posekeel.functions.ranks import mean_rank, sums_before, value_counts
 
 #: rows of a block of the reference that is broadcast
 BLOCK_ROWS = 20000
+#: queries of a block from which the others' k-th distance is bounded
+BOUND_ROWS = 2048
 
 
 def stratified_reference(df: DataFrame, group: str, order: str, share: float = 0.2, least: int = 20) -> DataFrame:
@@ -76,12 +78,81 @@ def knn_outlier(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str,
 
 
 def nearest(df: DataFrame, query_id: object, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
-    """The k rows nearest to one row, by distance then id: a top-k plan."""
-    vector = F.lit(df.where(F.col(id_col) == query_id).select(vec_col).first()[0])
+    """The k rows nearest to one row, by distance then id: a top-k plan.
+    Without that row there are none."""
+    found = df.where(F.col(id_col) == query_id).select(vec_col).first()
+    if found is None:
+        return df.withColumn("distance", F.lit(0.0)).limit(0)
+    vector = F.lit(found[0])
     rest = df.where(F.col(id_col) != query_id).withColumn("distance", F.lit(2.0) - F.lit(2.0) * dot(F.col(vec_col), vector))
     return rest.orderBy("distance", id_col).limit(k)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows, summed in order of the dimensions: copies of
+    a row have the same product wherever they stand."""
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        out += x[:, None] * y[None, :]
+    return out
+
+
+def _merge_nearest(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "distance", "id"]).groupby("query_id", sort=False).head(k)
+
+
+def nearest_each(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
+    """(query_id, id, distance) of the k rows nearest to each query, by distance
+    then id, never itself; fewer if there are no more rows.
+
+    Queries are rows of ``df``, in blocks that are broadcast one by one.  A task
+    keeps k rows of each query, and only those that are as near as the k-th of
+    some other queries of the block: what tasks send grows with the queries."""
+    kind = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField(id_col, kind), T.StructField("distance", T.DoubleType())])
+
+    def step(shared: Broadcast):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, vectors, bound = shared.value
+            bound, best = bound.copy(), None
+            for frame in frames:
+                for at in range(0, len(frame), 512):
+                    part = frame.iloc[at : at + 512]
+                    own, x = part[id_col].to_numpy(), np.stack(part[vec_col].to_numpy()).astype(float)
+                    found = [] if best is None else [best]
+                    for q in range(0, len(ids), 1024):
+                        d = 2 - 2 * _products(vectors[q : q + 1024], x)
+                        i, j = np.nonzero((d <= bound[q : q + 1024, None]) & (ids[q : q + 1024, None] != own[None, :]))
+                        found.append(pd.DataFrame({"at": i + q, "query_id": ids[i + q], "id": own[j], "distance": d[i, j]}))
+                    best = _merge_nearest(pd.concat(found, ignore_index=True), k)
+                    full = best.groupby("at")["distance"].agg(["size", "max"])
+                    full = full[full["size"] == k]
+                    bound[full.index] = np.minimum(bound[full.index], full["max"])
+            if best is not None:
+                yield best[["query_id", "id", "distance"]].rename(columns={"id": id_col})
+
+        return run
+
+    out = None
+    rows = df.select(id_col, vec_col).where(F.col(id_col).isNotNull())
+    for ids, vectors in _reference_blocks(queries, id_col, vec_col):
+        bound = np.full(len(ids), np.inf)
+        if len(ids) > k:
+            some = slice(0, BOUND_ROWS)
+            for q in range(0, len(ids), 1024):
+                d = 2 - 2 * _products(vectors[q : q + 1024], vectors[some])
+                d[ids[q : q + 1024, None] == ids[some][None, :]] = np.inf
+                if d.shape[1] > k:
+                    bound[q : q + 1024] = np.partition(d, k - 1, axis=1)[:, k - 1]
+        shared = df.sparkSession.sparkContext.broadcast((ids, vectors, bound))
+        near = rows.mapInPandas(step(shared), schema)
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        return df.sparkSession.createDataFrame([], schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
+    return out.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def robust_z(df: DataFrame, value: str, groups: list[str], least: int = 1) -> DataFrame:
     """Adds z within groups; groups under ``least`` rows get 0.  Medians are
     aggregated, then joined: no group is held in one task."""

@@ -482,6 +482,16 @@ def nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embeddings.nearest(table(spark, sf_dir, "embeddings"), 7, "vec_id", "embedding").select("vec_id", "distance"), "distance")
 
 
+@query(
+    f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, 2 - 2 * {DOT} AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM d) SELECT query_id, vec_id, round(d, 4) AS distance FROM r WHERE r <= 5"""
+)
+def nearest_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all rows for every row whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rounded(embeddings.nearest_each(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding"), "distance")
+
+
 def _mean_sql(name: str, where: str) -> str:
     return f"{name} AS (SELECT list(m ORDER BY d) AS m FROM (SELECT d, avg(v) AS m FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS d FROM embeddings WHERE {where}) t GROUP BY d) u)"
 

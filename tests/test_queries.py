@@ -41,3 +41,22 @@ def test_group_similarity_counts_all_rows(spark, tmp_path):
     data.to_parquet(tmp_path / "embeddings.parquet")
     got = {(r.label, r.other): r.similarity for r in QUERIES["group_similarity_all"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): 0.5, (0, 1): 0.25, (1, 0): 0.25, (1, 1): 0.25}
+
+
+def test_every_query_row_has_its_neighbors(spark, duck, tmp_path):
+    data = pd.DataFrame({"vec_id": range(8, 408), "label": 0, "embedding": [[float(i % 7), float(i % 3)] for i in range(400)]})
+    data.to_parquet(tmp_path / "embeddings.parquet")
+    sql = ORACLES["nearest_neighbors_all"].replace("embeddings", f"'{tmp_path}/embeddings.parquet'")
+    got = QUERIES["nearest_neighbors_all"](spark, str(tmp_path)).toPandas()
+    assert set(got["query_id"]) == set(range(50, 408, 50)) and rows(got) == rows(duck.execute(sql).df())
+    assert QUERIES["nearest_neighbors"](spark, str(tmp_path)).count() == 0  # there is no id 7
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    from posekeel.operators import embeddings
+
+    frame = spark.range(300).selectExpr("id AS vec_id", "array(cos(id * 7), sin(id * 7)) AS v").repartition(5)
+    whole = embeddings.nearest_each(frame, frame.where("vec_id % 10 = 0"), "vec_id", "v").toPandas()
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 4)
+    parts = embeddings.nearest_each(frame, frame.where("vec_id % 10 = 0"), "vec_id", "v").toPandas()
+    assert len(whole) == 150 and rows(whole) == rows(parts)
