@@ -8,8 +8,10 @@ programming.  Which documents of a length are taken is decided by seeded hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +20,11 @@ from .common import stash
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: capacity in words of the dynamic programme; what is left above it is filled
-#: greedily, so the tables stay at this many bits for each distinct length
+#: capacity in words of the first dynamic programme; what is left above it is
+#: filled greedily
 KNAPSACK_WORDS = 4096
+#: capacity of the second, in longest documents: it settles what the first leaves
+SETTLED = 4
 HASH_BINS = 1024
 
 
@@ -49,30 +53,49 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], passes: int = MAX
     return targets
 
 
-def bounded_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take so that the sum is as near below
-    ``budget`` as it can be.  Reachable sums are bits of an integer."""
-    mask = (1 << (budget + 1)) - 1
-    reach, history = 1, []
-    for length, count in zip(lengths, counts):
-        history.append(reach)
-        left, power = min(count, budget // length), 1
+def _nearest_sum(lengths: Sequence[int], counts: Sequence[int], goal: int, most: int) -> list[int]:
+    """How many of each length to take so that the sum, ``most`` at most, is as
+    near to ``goal`` as it can be, below it in a tie.  Reachable sums are bits of
+    an integer; of each, the first length that reached it is kept."""
+    unit = math.gcd(*lengths) or 1
+    steps, room = [n // unit for n in lengths], most // unit
+    mask = (1 << (room + 1)) - 1
+    owner = np.full(room + 1, -1, np.int32)
+    reach = 1
+    for i, (length, count) in enumerate(zip(steps, counts)):
+        if goal % unit == 0 and (reach >> (goal // unit)) & 1:
+            break
+        old, left, power = reach, min(count, room // length), 1
         while left > 0:  # binary splitting of the bound
             k = min(power, left)
             reach |= (reach << (k * length)) & mask
             left -= k
             power *= 2
-    at = reach.bit_length() - 1
-    taken = [0] * len(history)
-    for i in range(len(history) - 1, -1, -1):
-        while not (history[i] >> at) & 1:
-            taken[i] += 1
-            at -= lengths[i]
+        if reach != old:
+            new = np.frombuffer((reach ^ old).to_bytes(room // 8 + 1, "little"), np.uint8)
+            owner[np.flatnonzero(np.unpackbits(new, bitorder="little"))] = i
+    below = (reach & ((1 << (goal // unit + 1)) - 1)).bit_length() - 1
+    above = reach >> (goal // unit + 1)
+    at = goal // unit + (above & -above).bit_length() if above else below
+    if goal - below * unit <= at * unit - goal:
+        at = below
+    taken = [0] * len(steps)
+    while at > 0:
+        i = owner[at]
+        taken[i] += 1
+        at -= steps[i]
     return taken
 
 
+def bounded_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+    """How many of each length to take so that the sum is as near below
+    ``budget`` as it can be."""
+    return _nearest_sum(lengths, counts, budget, budget)
+
+
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """Documents of each length whose sum is near ``budget``, 0 included."""
+    """Documents of each length whose sum is near ``budget``, 0 included: the
+    nearest there is if the budget is within SETTLED times the longest length."""
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
@@ -90,10 +113,19 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> li
         for i, more in zip(small, bounded_knapsack([lengths[i] for i in small], [counts[i] - take[i] for i in small], gap)):
             take[i] += more
             gap -= more * lengths[i]
-    # one document more may be nearer than none
-    spare = [i for i in range(len(lengths)) if counts[i] > take[i] and abs(gap - lengths[i]) < gap]
-    if spare:
-        take[min(spare, key=lambda i: (abs(gap - lengths[i]), i))] += 1
+    if gap == 0:
+        return take
+    # documents are given back, one of each length in turn, until there is
+    # room to settle the rest from all lengths, a longest document past it too
+    longest = lengths[order[0]]
+    while gap < SETTLED * longest and any(take):
+        for i in order:
+            if take[i] and gap < SETTLED * longest:
+                take[i] -= 1
+                gap += lengths[i]
+    spare = [i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > take[i]]
+    for i, more in zip(spare, _nearest_sum([lengths[i] for i in spare], [counts[i] - take[i] for i in spare], gap, gap + longest)):
+        take[i] += more
     return take
 
 

@@ -42,6 +42,19 @@ def test_fit_counts_is_near(monkeypatch):
             assert abs(sum(a * b for a, b in zip(got, lengths)) - budget) <= max(lengths[0], 1) if cap == 4096 else max(lengths)
 
 
+def test_long_documents_of_unique_lengths_are_settled():
+    lengths = [12000, 13000, 14000, 15000, 16000]
+    assert fit_counts(lengths, [1] * 5, 39000) == [1, 1, 1, 0, 0]
+    assert fit_counts([10007, 15013, 20011], [1, 1, 1], 30030) == [1, 0, 1]
+    rnd = random.Random(6)
+    for _ in range(40):
+        lengths = sorted(rnd.sample(range(5000, 20000), 8))
+        budget = rnd.randint(0, 4 * lengths[-1])
+        best = min(abs(sum(c) - budget) for n in range(9) for c in itertools.combinations(lengths, n))
+        got = fit_counts(lengths, [1] * 8, budget)
+        assert set(got) <= {0, 1} and abs(sum(a * b for a, b in zip(got, lengths)) - budget) == best
+
+
 def rows(seed):
     rnd = random.Random(seed)
     sources = ["b", "a", None, "é", "", "c"]
