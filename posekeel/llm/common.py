@@ -1,8 +1,9 @@
 """Shared helpers: work tables, blocks of whole texts as bytes, rolling hashes.
 
 Texts are handled as UTF-8 buffers straight from Arrow.  All hashing is
-vectorised over a *block* (whole documents, about two megabytes together), so
-memory in a Python worker depends on the block and the longest single text.
+vectorised over a *block* (whole documents, about half a megabyte together);
+a longer text is a block of its own, whose bytes are hashed in stripes, so a
+worker holds a few times the longest single text.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import atexit
 import shutil
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,13 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 21
+#: bytes of a block of texts that is handled at once; a longer text is a block of its own
+BLOCK_BYTES = 1 << 19
+#: limits of the Arrow batches that go to Python workers: rows and bytes
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 # ---------------------------------------------------------------- work tables
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, removed when the driver ends."""
+    """A new folder under spark.checkpoint.dir, removed when the driver ends.
+    Where that is unset, a local master uses a folder of its own (there is one
+    machine then), any other refuses."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "/tmp/posekeel-work"
@@ -48,9 +56,30 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a thousand rows: one batch of whole texts is held by
-    the JVM and by the Python worker of each task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches of bounded rows and bytes, for the session of a registered
+    query: the JVM and the Python worker of a task each hold a batch of whole
+    texts, and the limits are read when a plan runs, after the call."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@contextmanager
+def batch_limits(spark: SparkSession) -> Iterator[None]:
+    """The same limits for what runs inside; the session's own come back."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {n: spark.conf.get(n, None) for n in names}
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    with batch_limits(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -58,10 +87,33 @@ def stash(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: an executor lost later costs only the tasks it ran, since
     the rows are in shared storage."""
-    small_batches(df.sparkSession)
-    path = work_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, work_folder(df.sparkSession))
+
+
+class Workspace:
+    """Work tables of one operator call, by name, in one shared folder.  Each
+    is removed by ``drop`` once what was made of it is written; what is left
+    goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = work_folder(spark)
+        self.names: set[str] = set()
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.names.add(name)
+        return _written(df, f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.names.discard(name)
+            remove_folder(self.spark, f"{self.root}/{name}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write the result, and remove all other tables."""
+        out = self.put("result", df)
+        self.drop(*(self.names - {"result"}))
+        return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,17 +176,18 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # odd, so invertible
+LENGTH_CODE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up = _POWERS.get(which)
     if up is None or len(up[0]) < n:
-        size = max(n, BLOCK_BYTES + 1024)
+        size = max(n, 2 * BLOCK_BYTES + 1024)
         base = BASES[which]
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, inverse))
-        if n <= BLOCK_BYTES + 1024:
+        if n <= 2 * BLOCK_BYTES + 1024:
             _POWERS[which] = up
     return up
 
@@ -160,14 +213,14 @@ class Rolling:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mixed(h + (end - start).astype(np.uint64) * LENGTH_CODE)
 
     def windows(self, k: int) -> np.ndarray:
         """Hashes of all slices of length k, in order."""
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k * int(LENGTH_CODE) & (1 << 64) - 1))
 
 
 def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +244,26 @@ def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_codes(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(BYTE_CODES[block.data])(starts, ends)
+    """Hash of each word, by stripes of bytes: a word that reaches over several
+    is the sum of its parts, each shifted by the bytes before it."""
+    n = len(block.data)
+    if n <= 2 * BLOCK_BYTES:
+        return Rolling(BYTE_CODES[block.data])(starts, ends)
+    raw = np.zeros(len(starts), np.uint64)
+    base = int(BASES[0])
+    for at in range(0, n, BLOCK_BYTES):
+        to = min(n, at + BLOCK_BYTES)
+        a, b = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, to)
+        if a == b:
+            continue
+        part = Rolling(BYTE_CODES[block.data[at:to]])
+        lo, hi = np.maximum(starts[a:b], at) - at, np.minimum(ends[a:b], to) - at
+        h = (part.sums[hi] - part.sums[lo]) * part.down[lo]
+        before = at - int(starts[a])  # only the first word can begin in an earlier stripe
+        if before > 0:
+            h[0] *= np.uint64(pow(base, before, 1 << 64))
+        raw[a:b] += h
+    return mixed(raw + (ends - starts).astype(np.uint64) * LENGTH_CODE)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

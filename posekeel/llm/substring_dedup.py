@@ -1,15 +1,17 @@
 """Substring deduplication by level-wise doubling of repeated word windows.
 
-Level 1 counts quarter-length runs of words at minimiser places, level 2
-doubles the survivors to half the length, the last level to the full window.
-A longer window is looked at only where every shorter run inside it that was
-looked at repeats; levels end early when no candidate survives.
+The levels' lengths double from eight words or so up to the window's (35: 9,
+18, 35).  At a level, only runs of its length that occur twice or more stay
+candidates; those are extended to the next length, on the side on which the
+window has room, until the window's length is reached or no candidate is left.
+Runs of the first level are looked at in minimiser places only, which is exact:
+equal windows have equal minimisers.  Nothing else decides what is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,72 +19,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import covered_units, signed, stash, text_blocks, word_spans
-from .repeats import KEY, Units, copies, range_arrays, ranges_by_text, repeated_segments, with_key, with_texts
+from .common import Rolling, Workspace, covered_units, signed, text_blocks, word_spans
+from .repeats import PART, SEGMENT, level_lengths, parts_with_texts, range_arrays, ranges_by_text, repeated_segments, representatives, split_parts, survivors, taken_parts, unit_codes, with_key, with_texts
+
+PARTS = "gram long, sa long, copies long, at int, i int, j int, c int, _ka long, _kb long, core long"
+
+
+def _core_rows(longer: int):
+    """Hash of each part's core of ``longer`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, text, parts in taken_parts(batches):
+            codes, bounds = unit_codes(block, "word")
+            start = bounds[text] + parts["at"] + parts["c"]
+            core = Rolling(codes)(start, start + longer)
+            names = [*PART, "ka", "kb"]
+            yield pa.RecordBatch.from_arrays([pa.array(parts[c]) for c in names] + [pa.array(signed(core))], names=[*PART, "_ka", "_kb", "core"])
+
+    return run
 
 
 def _window_rows(length: int):
-    """Full-length windows of the candidate ranges of each text."""
+    """The windows of each part, with two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ka, kb = (batch.column(c).to_numpy(zero_copy_only=False) for c in KEY)
-            for block in text_blocks(batch.column("_text")):
-                u = Units(block, "word")
-                lo, hi = range_arrays(batch.column("ranges"), block.rows, u.bounds)
-                if not len(lo):
-                    continue
-                span = hi - lo
-                at = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(lo, span)
-                at = np.unique(at)
-                text = np.searchsorted(u.bounds, at, side="right") - 1
-                rows = block.rows[text]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ka[rows]),
-                        pa.array(kb[rows]),
-                        pa.array((at - u.bounds[text]).astype(np.int32)),
-                        pa.array(signed(u.one(at, at + length))),
-                        pa.array(signed(u.two(at, at + length))),
-                    ],
-                    names=["_ka", "_kb", "at", "wa", "wb"],
-                )
+        for block, text, parts in taken_parts(batches):
+            codes, bounds = unit_codes(block, "word")
+            n = parts["j"] - parts["i"] + 1
+            part = np.repeat(np.arange(len(n)), n)
+            window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + parts["i"][part]
+            at = (bounds[text] + parts["at"])[part] + window
+            hashes = [signed(Rolling(codes, which)(at, at + length)) for which in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts[c][part]) for c in (*SEGMENT, "copies")] + [pa.array(window.astype(np.int32)), *map(pa.array, hashes)],
+                names=[*SEGMENT, "copies", "i", "wa", "wb"],
+            )
 
     return run
 
 
-def repeated_word_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """(_ka, _kb, lo, hi): word ranges of keyed ``docs`` that are covered by
-    windows of ``length`` words which start at two places or more."""
-    step = max(1, -(-length // 4))
-    places = stash(repeated_segments(docs, "word", length, step))
-    distinct = stash(copies(places))
-    whole = (
-        places.join(distinct.where("copies > 1").select("gram", "sa", "sb"), ["gram", "sa", "sb"])
-        .select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
-    )
-    # Window i of a segment starts r - i words before the minimiser.  It holds
-    # the doubled run to the right if r - i <= length - 2 * step, and the one
-    # to the left if r - i >= step; a run seen once rules it out.  Segments
-    # all of whose partners are copied whole need no further look.
-    level = distinct.select("gram", "copies", "place.*", "n", "r", "right_ext", "left_ext")
-    alone = F.sum((F.col("copies") == 1).cast("int"))
-    for side in ("right", "left"):
-        seen = distinct.groupBy("gram", f"{side}_ext").agg(((F.count(F.lit(1)) > 1) & (alone > 0)).alias(side))
-        level = level.join(seen, ["gram", f"{side}_ext"])
-    first = F.when(F.col("left"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.col("r") - step + 1))
-    last = F.when(F.col("right"), F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.col("r") - (length - 2 * step) - 1))
-    wanted = (
-        level.withColumns({"i": first, "j": last})
-        .where("i <= j")
-        .select(*KEY, (F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("j") + 1).alias("hi"))
-    )
-    windows = stash(
-        with_texts(docs.select(*KEY, "_text"), ranges_by_text(wanted), "inner").mapInArrow(_window_rows(length), "_ka long, _kb long, at int, wa long, wb long")
-    )
-    twice = stash(windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wa", "wb"))
-    single = windows.join(twice, ["wa", "wb"]).select(*KEY, F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    return whole.unionByName(single)
+def repeated_word_runs(work: Workspace, docs: DataFrame, length: int, told: Callable[[int, int], None] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(places, runs): segments of keyed ``docs``, and the runs (gram, sa, lo,
+    hi) of their words that windows of ``length`` words cover which start at
+    two places or more; None if no candidate reaches that length.  ``told`` is
+    called with the length of each level and its number of candidates."""
+    levels = level_lengths(length)
+    places = repeated_segments(work, docs, "word", length, levels[0], levels[min(1, len(levels) - 1)])
+    alive = work.put("level0", representatives(places))
+    for k, (now, longer) in enumerate(zip(levels, levels[1:])):
+        if told:
+            told(now, alive.count())
+        if alive.isEmpty():
+            return places, None
+        if longer == length:
+            break
+        parts = split_parts(alive, length, now, longer)
+        if k:
+            named = parts.withColumns({"ka": F.col("_ka"), "kb": F.col("_kb")})
+            parts = work.put(f"cores{k}", parts_with_texts(docs, named, "ka", "kb").mapInArrow(_core_rows(longer), PARTS))
+        alive = survivors(work, parts, f"level{k + 1}")
+        work.drop(f"level{k}", f"cores{k}")
+    windows = work.put("windows", parts_with_texts(docs, alive).mapInArrow(_window_rows(length), "gram long, sa long, copies long, i int, wa long, wb long"))
+    twice = work.put("twice", windows.groupBy("wa", "wb").agg(F.sum("copies").alias("_c")).where("_c > 1").select("wa", "wb"))
+    starts = windows.join(twice, ["wa", "wb"]).groupBy(*SEGMENT).agg(F.collect_set("i").alias("s"), F.min("i").alias("a"), F.max("i").alias("b"))
+    # the windows of a segment are mostly one run of neighbours
+    one = F.array(F.struct(F.col("a").alias("lo"), (F.col("b") + length).alias("hi")))
+    each = F.transform("s", lambda i: F.struct(i.alias("lo"), (i + length).alias("hi")))
+    runs = work.put("runs", starts.select(*SEGMENT, F.inline(F.when(F.size("s") == F.col("b") - F.col("a") + 1, one).otherwise(each))))
+    if told:
+        told(length, runs.count())
+    work.drop("windows", "twice", *[f"level{k}" for k in range(len(levels))])
+    return places, runs
 
 
 def _cut(keep_text: bool):
@@ -125,15 +132,22 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``keep_text``, kept_text (kept words joined by one space).  A null text has
     no words; texts shorter than the window lose nothing; repeated rows repeat
     each other, so they lose all windows; a null id is an id like any other.
-    Other columns of ``df`` are not read.  An empty table gives no rows."""
+    A very long text is one row to a worker, which holds it a few times over.
+    There are no ties.  Other columns of ``df`` are not read, whatever their
+    names.  An empty table gives no rows.  Work tables and the result are
+    written to the shared folder when this is called."""
     if length < 1:
         raise ValueError("length must be at least 1")
     docs = with_key(df, id_col, text_col)
-    ranges = ranges_by_text(repeated_word_ranges(docs, length))
+    work = Workspace(df.sparkSession)
+    places, runs = repeated_word_runs(work, docs, length)
     id_type = docs.schema["_id"].dataType
     schema = T.StructType(
         [T.StructField("_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         + [T.StructField("kept_text", T.StringType())] * keep_text
     )
-    joined = with_texts(docs, ranges, "left").select("_id", "_text", "ranges")
-    return joined.mapInArrow(_cut(keep_text), schema).withColumnRenamed("_id", id_col)
+    if runs is None:
+        joined = docs.select("_id", "_text", F.lit(None).cast("array<struct<lo: int, hi: int>>").alias("ranges"))
+    else:
+        joined = with_texts(docs, ranges_by_text(places, runs), "left").select("_id", "_text", "ranges")
+    return work.result(joined.mapInArrow(_cut(keep_text), schema)).withColumnRenamed("_id", id_col)

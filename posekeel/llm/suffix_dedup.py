@@ -1,14 +1,17 @@
 """Byte-exact substring deduplication with merged Burrows-Wheeler transforms.
 
-Segments that hold a repeated quarter-length run (``repeats``) and a repeated
-run of twice that are split into bands: windows with nearly the same offset to
-their minimiser, which share a core of seven eighths of their bytes.  The core
-is the key by which bands are dealt out, if it occurs in two of them.  In a
-task, the bands of some keys are cut into shards; each shard gets a suffix
-order and a Burrows-Wheeler transform over symbols of a quarter length, and
-the transforms are merged by refining the interleave one symbol an iteration.
-Blocks that are still joined after four symbols are the repeated intervals:
-their common prefix is at least ``length`` bytes.  No suffix is compared again.
+Whole texts are cut into segments of candidate windows (``repeats``); those
+with a run of an eighth and of a quarter of the window that occurs once go.
+What is left is dealt out by the longest run that all its windows share, and
+all repeats are decided there: the strings of a task are cut into shards, each
+shard gets a suffix order and a Burrows-Wheeler transform, and the transforms
+are merged by refining the interleave one symbol an iteration.  Where
+neighbours part gives their common prefix; those that are still together after
+``length`` bytes are the repeated intervals.  No suffix is compared again.
+
+Symbols are runs of an eighth of the window, ranked within the task.  A run
+that very many different strings share is dealt out anew by longer runs, with
+fewer windows to a string, down to one; equal strings are one with a weight.
 """
 
 from __future__ import annotations
@@ -22,31 +25,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, Rolling, covered_units, signed, stash, text_blocks
-from .repeats import KEY, copies, range_arrays, ranges_by_text, repeated_segments, with_key, with_texts
+from .common import BYTE_CODES, Rolling, Workspace, covered_units, signed, text_blocks
+from .repeats import SEGMENT, parts_with_texts, range_arrays, ranges_by_text, repeated_segments, representatives, split_parts, survivors, taken_parts, with_key, with_texts
 
+#: symbols to a window: the interleave is refined so many times
+SYMBOLS = 8
 SHARD_BYTES = 1 << 16
-CHUNK_BYTES = 1 << 20
-GROUP_PARTS = 2048
+#: bytes of strings whose transforms are merged together, about
+CHUNK_BYTES = 1 << 19
+#: different strings with one core that go to one task; more are dealt out anew
+CORE_STRINGS = 512
+#: windows to a string, as shares of the window's length, when dealt out anew
+NARROW = (8, 64)
+
+STRINGS = "ida long, idb long, rel int, r int, copies long, core long, body binary"
+BANDS = "ida long, idb long, rel int, r int, copies long, core long, bh long, body binary"
 
 # ------------------------------------------------------------ transform merge
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of ranks, by counting passes over 16 bits each."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(keys) and keys.max() > 0xFFFF:
+        order = order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Shard:
     """Suffix order and transform of some symbol strings.
 
     ``symbols`` joins the strings; ``follow[i]`` is the place of the symbol
     after place i, or -1 at a string's end; ``before[i]`` that of the one
-    before, or -1 at its start.  Each place is one suffix."""
+    before, or -1 at its start.  Each place is one suffix; they are ordered by
+    their first ``depth`` symbols, in rounds that double what is compared."""
 
     def __init__(self, symbols: np.ndarray, follow: np.ndarray, before: np.ndarray, depth: int):
-        columns, at = [], np.arange(len(symbols))
-        for _ in range(depth):
-            columns.append(np.where(at >= 0, symbols[at], np.int64(-1)))
-            at = np.where(at >= 0, follow[at], -1)
-        self.order = np.lexsort(columns[::-1])
-        ahead = before[self.order]
-        self.bwt = np.where(ahead >= 0, symbols[ahead], np.int64(-1))
+        rank, ahead, known = symbols, follow, 1
+        while known < depth:
+            behind = np.where(ahead >= 0, rank[ahead] + 1, 0).astype(np.int64)
+            rank = np.unique(rank.astype(np.int64) << 32 | behind, return_inverse=True)[1]
+            ahead = np.where(ahead >= 0, ahead[ahead], -1)
+            known *= 2
+        self.order = stable_order(rank)
+        previous = before[self.order]
+        self.bwt = np.where(previous >= 0, symbols[previous], -1)
 
 
 def merge_transforms(transforms: list[np.ndarray], ends: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,166 +83,139 @@ def merge_transforms(transforms: list[np.ndarray], ends: list[np.ndarray], depth
     with the one before it (``depth`` if that long or longer)."""
     shards = len(transforms)
     whole = [np.concatenate([e, t]) for e, t in zip(ends, transforms)]
-    sizes = np.array([len(t) for t in whole])
     flat = np.concatenate(whole)
-    z = np.repeat(np.arange(shards, dtype=np.int16), sizes)
+    z = np.repeat(np.arange(shards, dtype=np.uint16), [len(t) for t in whole])
     n = len(z)
-    if not n:
-        return z, np.zeros(0, np.int64)
     common = np.full(n, depth, np.int64)
-    block = np.zeros(n, np.int64)
-    new = np.zeros(n, bool)
+    if not n:
+        return z, common
+    block, new = np.zeros(n, np.int32), np.zeros(n, bool)
     # empty suffixes are all that a string's start leads to: they stay ahead
-    empties = np.sort(np.repeat(np.arange(shards, dtype=np.int16), [len(e) for e in ends]))
-    for step in range(depth + 1):
-        if step:
-            rank = np.empty(n, np.int64)
-            by_shard = np.argsort(z, kind="stable")
-            rank[by_shard] = np.arange(n)  # shards stand one after the other in ``flat``
-            c = flat[rank]
-            real = np.flatnonzero(c >= 0)
-            order = real[np.argsort(c[real], kind="stable")]
-            moved, from_block = c[order], block[order]
-            z = np.concatenate([empties, z[order]])
-            fresh = np.ones(n, bool)
-            k = len(empties)
-            fresh[1:k] = False
-            fresh[k + 1 :] = (moved[1:] != moved[:-1]) | (from_block[1:] != from_block[:-1])
-            newly = fresh & ~new
-            common[newly] = step - 1
-            new |= fresh
-            block = np.cumsum(new)
-            if new.all():
-                break
+    empties = np.repeat(np.arange(shards, dtype=np.uint16), [len(e) for e in ends])
+    k = len(empties)
+    for step in range(1, depth + 1):
+        c = np.empty(n, flat.dtype)
+        c[np.argsort(z, kind="stable")] = flat  # shards stand one after the other in ``flat``
+        real = np.flatnonzero(c >= 0)
+        order = real[stable_order(c[real])]
+        moved, from_block = c[order], block[order]
+        z = np.concatenate([empties, z[order]])
+        fresh = np.ones(n, bool)
+        fresh[1:k] = False
+        fresh[k + 1 :] = (moved[1:] != moved[:-1]) | (from_block[1:] != from_block[:-1])
+        common[fresh & ~new] = step - 1
+        new |= fresh
+        block = np.cumsum(new, dtype=np.int32)
+        if new.all():
+            break
     common[0] = 0
     return z, common
 
 
-def repeated_places(texts: list[bytes], length: int, step: int) -> list[np.ndarray]:
+def repeated_places(texts: list[bytes], weights: list[int], length: int, step: int) -> list[np.ndarray]:
     """For each text, whether its window of ``length`` bytes at each place
-    starts at another place of these texts too.  A text's strings are its
-    ``step`` residue classes; a symbol stands for ``step`` bytes."""
-    depth = -(-length // step)
+    stands for two places or more: it starts at another place of these texts
+    too, or its text weighs two or more.  A text's strings are its ``step``
+    residue classes; a symbol is the rank of ``step`` bytes."""
+    depth = length // step
     assert depth * step == length
-    shards, owners, groups = [], [], []
-    ends, at = [], 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= SHARD_BYTES):
-            size += len(texts[to])
-            to += 1
-        groups.append((at, to))
-        at = to
-    for a, b in groups:
-        sizes = np.array([len(t) for t in texts[a:b]])
-        data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-        grams = signed(Rolling(BYTE_CODES[data]).windows(step)) & np.int64((1 << 63) - 1)
-        lo = np.cumsum(sizes) - sizes
-        inside = np.repeat(lo + sizes, sizes)[: len(grams)]
-        here = np.arange(len(grams))
-        use = np.flatnonzero(here + step <= inside)
-        start = np.repeat(lo, sizes)[: len(grams)]
-        slot = np.full(len(data) + step, -1, np.int64)
+    sizes = np.array([len(t) for t in texts])
+    stops = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    symbols = np.unique(Rolling(BYTE_CODES[data]).windows(step), return_inverse=True)[1]
+    # shards are runs of whole texts
+    number = (stops - sizes) // SHARD_BYTES
+    firsts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    shards, ends, owners = [], [], []
+    for a, b in zip(firsts, np.append(firsts[1:], len(texts))):
+        lo, size = stops[a] - sizes[a], sizes[a:b]
+        stop = np.repeat(np.cumsum(size), size)
+        start = stop - np.repeat(size, size)
+        here = np.arange(len(stop))
+        use = np.flatnonzero(here + step <= stop)
+        slot = np.full(len(stop) + step, -1, np.int64)
         slot[use] = np.arange(len(use))
-        follow = slot[use + step]
-        follow = np.where(use + 2 * step <= inside[use], follow, -1)
+        follow = np.where(use + 2 * step <= stop[use], slot[use + step], -1)
         before = np.where(use - step >= start[use], slot[use - step], -1)
-        shard = Shard(grams[use], follow, before, depth)
+        own = symbols[lo + use]
+        shard = Shard(own, follow, before, depth)
         shards.append(shard)
-        ends.append(np.sort(grams[use][follow < 0]))
-        owners.append(use[shard.order])
-    # the empty suffixes' order within a shard must agree with its transform:
-    # all are equal, so any fixed order is right
+        ends.append(own[follow < 0])
+        owners.append(lo + use[shard.order])
     z, common = merge_transforms([s.bwt for s in shards], ends, depth)
-    sizes = np.array([len(e) + len(s.order) for e, s in zip(ends, shards)])
-    base = np.cumsum(sizes) - sizes
-    by_shard = np.argsort(z, kind="stable")
-    rank = np.empty(len(z), np.int64)
-    rank[by_shard] = np.arange(len(z))
-    joined = np.zeros(len(z), bool)
-    joined[1:] = common[1:] >= depth
-    joined[:-1] |= common[1:] >= depth
-    in_shard = np.empty(len(z), bool)
-    in_shard[rank] = joined
-    out = [np.zeros(max(0, len(t) - length + 1), bool) for t in texts]
-    for (a, b), owner, off, e in zip(groups, owners, base, ends):
-        sizes = np.array([len(t) for t in texts[a:b]])
-        lo = np.cumsum(sizes) - sizes
-        flags = np.zeros(int(sizes.sum()), bool)
-        flags[owner] = in_shard[off + len(e) : off + len(e) + len(owner)]
-        for k in range(a, b):
-            out[k] = flags[lo[k - a] : lo[k - a] + len(out[k])]
-    return out
+    # intervals: neighbours with a common prefix of a whole window
+    interval = np.cumsum(common < depth)
+    at = np.concatenate([np.concatenate([np.full(len(e), -1), o]) for e, o in zip(ends, owners)])
+    place = np.empty(len(z), np.int64)
+    place[np.argsort(z, kind="stable")] = at
+    text = np.repeat(np.arange(len(texts)), sizes)
+    weight = np.where(place >= 0, np.minimum(np.asarray(weights), 2)[text[place]], 0)
+    twice = np.bincount(interval, weight)[interval] >= 2
+    flags = np.zeros(len(data), bool)
+    flags[place[(place >= 0) & twice]] = True
+    return [flags[e - n : e - n + max(0, n - length + 1)] for e, n in zip(stops.tolist(), sizes.tolist())]
 
 
 # ------------------------------------------------------------------ operators
 
 
-def _band_rows(length: int):
-    """The bands of the wanted parts of each text, with their bytes."""
-    width = max(1, length // 8)
+def _string_rows(length: int):
+    """The bytes of each part, from its first window to the end of its last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, text, parts in taken_parts(batches):
+            start = block.offsets[text] + parts["at"]
+            body = [block.data[s:e].tobytes() for s, e in zip((start + parts["i"]).tolist(), (start + parts["j"] + length).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (parts["gram"], parts["sa"], parts["i"], (parts["r"] - parts["i"]).astype(np.int32), parts["copies"], parts["core"])] + [pa.array(body, pa.binary())],
+                names=["ida", "idb", "rel", "r", "copies", "core", "body"],
+            )
+
+    return run
+
+
+def _narrow(length: int, width: int):
+    """Strings of ``width`` windows or less, by their distance to the minimiser
+    (r before the string's first window): they share all but that many bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch.column("parts")
-            counts = parts.value_lengths().to_numpy(zero_copy_only=False)
-            flat = parts.flatten()
-            lo, hi, r = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi", "r"))
-            texts = batch.column("_text")
-            row = np.repeat(np.arange(len(texts)), counts)
-            # bands of a part, from its first window (r) to its last
-            high, low = r // width, (r - (hi - lo)) // width
-            n = high - low + 1
-            part = np.repeat(np.arange(len(n)), n)
-            band = high[part] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            top = np.minimum(r[part], band * width + width - 1)
-            bottom = np.maximum((r - (hi - lo))[part], band * width)
-            first = lo[part] + r[part] - top
-            last = lo[part] + r[part] - bottom
-            core = lo[part] + r[part] - band * width  # where the core begins
-            row = row[part]
-            for block in text_blocks(texts):
-                a, b = np.searchsorted(row, [block.rows[0], block.rows[-1] + 1])
-                if a == b:
-                    continue
-                base = block.offsets[row[a:b] - block.rows[0]]
-                key = Rolling(BYTE_CODES[block.data])(base + core[a:b], base + core[a:b] + length - width + 1)
-                body = [block.data[s:e].tobytes() for s, e in zip((base + first[a:b]).tolist(), (base + last[a:b] + length).tolist())]
-                rows = pa.array(row[a:b])
+            ida, idb, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ida", "idb", "copies"))
+            for k, (rel, r, body) in enumerate(zip(batch.column("rel").to_pylist(), batch.column("r").to_pylist(), batch.column("body").to_pylist())):
+                nearest = r - (len(body) - length)  # distance of the last window
+                bands = range(r // width, nearest // width - 1, -1)
+                hashed = Rolling(BYTE_CODES[np.frombuffer(body, np.uint8)]), Rolling(BYTE_CODES[np.frombuffer(body, np.uint8)], 1)
+                tops = np.array([min(r, b * width + width - 1) for b in bands])
+                lows = np.array([max(nearest, b * width) for b in bands])
+                a, e, c = r - tops, r - lows + length, r - np.array(bands) * width
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), batch.column("_ka").take(rows), batch.column("_kb").take(rows), pa.array(first[a:b].astype(np.int32)), pa.array(body, pa.binary())],
-                    names=["core", "_ka", "_kb", "at", "body"],
-                )
+                    [
+                        pa.array(np.full(len(a), ida[k])), pa.array(np.full(len(a), idb[k])), pa.array((rel + a).astype(np.int32)), pa.array(tops.astype(np.int32)), pa.array(np.full(len(a), copies[k])),
+                        pa.array(signed(hashed[0](c, c + length - width + 1))), pa.array(signed(hashed[1](a, e))), pa.array([body[x:y] for x, y in zip(a.tolist(), e.tolist())], pa.binary()),
+                    ],
+                    names=["ida", "idb", "rel", "r", "copies", "core", "bh", "body"],
+                )
 
     return run
 
 
-def _merge_buckets(length: int, step: int):
-    """Merge the transforms of whole buckets, about a megabyte at a time."""
-    names = ["_ka", "_kb", "lo", "hi", "wa", "wb", "open"]
+def _merge(length: int, step: int):
+    """Repeated runs of the strings of whole cores, some cores at a time."""
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
-        bodies = [r[5] for r in rows]
-        out: list[list] = [[] for _ in names]
-        for (_, shards, ka, kb, at, body), flags in zip(rows, repeated_places(bodies, length, step)):
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+        out: list[list] = [[], [], [], []]
+        for (_, a, b, rel, _, _), flags in zip(rows, repeated_places([r[5] for r in rows], [r[4] for r in rows], length, step)):
+            edges = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
             for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                for column, value in zip(out, (ka, kb, at + s, at + e - 1 + length, 0, 0, False)):
+                for column, value in zip(out, (a, b, rel + s, rel + e - 1 + length)):
                     column.append(value)
-            if shards > 1:  # other buckets hold parts with the same key
-                codes = BYTE_CODES[np.frombuffer(body, np.uint8)]
-                wa, wb = (signed(Rolling(codes, which).windows(length)).tolist() for which in (0, 1))
-                for i in range(len(wa)):
-                    for column, value in zip(out, (ka, kb, at + i, at + i + length, wa[i], wb[i], True)):
-                        column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["ida", "idb", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "shards", "_ka", "_kb", "at", "body")]):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("core", "ida", "idb", "rel", "copies", "body")]):
                 if size >= CHUNK_BYTES and row[0] != last:
                     yield judged(held)
                     held, size = [], 0
@@ -232,53 +228,41 @@ def _merge_buckets(length: int, step: int):
     return run
 
 
-def repeated_byte_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """(_ka, _kb, lo, hi): byte ranges of keyed ``docs`` covered by strings of
-    ``length`` bytes which start at two places or more."""
-    if length % 4 or length < 4:
-        raise ValueError("length must be a multiple of four")
+def merged_runs(work: Workspace, strings: DataFrame, length: int, widths: list[int], name: str = "w") -> DataFrame:
+    """(ida, idb, lo, hi): runs of the bytes of ``strings`` that repeated
+    windows cover.  Equal windows have equal cores, so they meet in one task."""
+    cores = work.put(f"{name}_cores", strings.groupBy("core").agg(F.sum("copies").alias("_w"), F.count(F.lit(1)).alias("_c")).where("_w > 1").select("core", "_c"))
+    few = strings.join(cores.where(F.col("_c") <= CORE_STRINGS) if widths else cores, "core").select("core", "ida", "idb", "rel", "copies", "body")
+    runs = work.put(f"{name}_runs", few.repartition("core").sortWithinPartitions("core").mapInArrow(_merge(length, length // SYMBOLS), "ida long, idb long, lo int, hi int"))
+    many = cores.where(F.col("_c") > CORE_STRINGS)
+    if not widths or many.isEmpty():
+        return runs
+    bands = work.put(f"{name}_bands", strings.join(many, "core").mapInArrow(_narrow(length, widths[0]), BANDS))
+    one = bands.groupBy("core", "bh").agg(F.sum("copies").alias("copies"), F.first("r").alias("r"), F.first("body").alias("body"))
+    equal = work.put(f"{name}_equal", one.select(F.col("core").alias("ida"), F.col("bh").alias("idb"), F.lit(0).alias("rel"), "r", "copies", "core", "body"))
+    inner = merged_runs(work, equal, length, widths[1:], f"{name}w").select(F.col("ida").alias("core"), F.col("idb").alias("bh"), "lo", "hi")
+    carried = bands.select("ida", "idb", "rel", "core", "bh").join(inner, ["core", "bh"]).select("ida", "idb", (F.col("rel") + F.col("lo")).alias("lo"), (F.col("rel") + F.col("hi")).alias("hi"))
+    out = work.put(f"{name}_all", runs.unionByName(carried))
+    work.drop(f"{name}_cores", f"{name}_runs", f"{name}_bands", f"{name}_equal")
+    return out
+
+
+def repeated_byte_runs(work: Workspace, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(places, runs): segments of keyed ``docs``, and the runs (gram, sa, lo,
+    hi) of their bytes that strings of ``length`` bytes cover which start at
+    two places or more."""
+    if length % SYMBOLS or length < SYMBOLS:
+        raise ValueError(f"length must be a multiple of {SYMBOLS}")
     step = length // 4
-    middle = (length - step) // 2
-    places = stash(repeated_segments(docs, "byte", length, step))
-    distinct = stash(copies(places))
-    whole = (
-        places.join(distinct.where("copies > 1").select("gram", "sa", "sb"), ["gram", "sa", "sb"])
-        .select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
-    )
-    # Windows up to ``middle`` bytes before the minimiser hold the doubled run
-    # to its right, the others that to its left.
-    last = F.col("n") - 1
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("right_ext").alias("ext"), F.greatest(F.lit(0), F.col("r") - middle).alias("i"), last.alias("j")),
-        F.struct(F.lit(1).alias("side"), F.col("left_ext").alias("ext"), F.lit(0).alias("i"), F.least(last, F.col("r") - middle - 1).alias("j")),
-    )
-    parts = distinct.select("gram", "copies", "place.*", "r", F.explode(sides).alias("p")).select("gram", "copies", "r", *KEY, "at", "p.*").where("i <= j")
-    groups = (
-        parts.groupBy("gram", "side", "ext")
-        .agg(F.count(F.lit(1)).alias("parts"), F.sum((F.col("copies") == 1).cast("int")).alias("alone"))
-        .where("parts > 1 and alone > 0")
-        .select("gram", "side", "ext")
-    )
-    wanted = parts.join(stash(groups), ["gram", "side", "ext"]).select(
-        *KEY,
-        F.struct((F.col("at") + F.col("i")).alias("lo"), (F.col("at") + F.col("j")).alias("hi"), (F.col("r") - F.col("i")).alias("r")).alias("part"),
-    )
-    by_text = wanted.groupBy(*KEY).agg(F.collect_list("part").alias("parts"))
-    bands = stash(with_texts(docs.select(*KEY, "_text"), by_text, "inner").mapInArrow(_band_rows(length), "core long, _ka long, _kb long, at int, body binary"))
-    cores = stash(bands.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    shards = F.ceil(F.col("c") / GROUP_PARTS).cast("int")
-    bodies = bands.join(cores, "core").select(
-        F.xxhash64("core", F.pmod(F.xxhash64(*KEY, "at"), shards)).alias("bucket"), shards.alias("shards"), *KEY, "at", "body"
-    )
-    merged = stash(
-        bodies.repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_merge_buckets(length, step), "_ka long, _kb long, lo int, hi int, wa long, wb long, open boolean")
-    )
-    opened = merged.where("open")
-    twice = stash(opened.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("wa", "wb"))
-    across = opened.join(twice, ["wa", "wb"])
-    columns = (*KEY, "lo", "hi")
-    return whole.unionByName(merged.where("not open").select(*columns)).unionByName(across.select(*columns))
+    places = repeated_segments(work, docs, "byte", length, step, 2 * step)
+    parts = split_parts(work.put("segments", representatives(places)), length, step, 2 * step, "r")
+    alive = survivors(work, parts, "parts")
+    strings = work.put("strings", parts_with_texts(docs, alive, "r", "core").mapInArrow(_string_rows(length), STRINGS))
+    work.drop("segments", "parts")
+    widths = sorted({max(1, length // share) for share in NARROW} | {1}, reverse=True)
+    runs = merged_runs(work, strings, length, widths).select(F.col("ida").alias("gram"), F.col("idb").alias("sa"), "lo", "hi")
+    work.drop("strings")
+    return places, runs
 
 
 def _cut(keep_text: bool):
@@ -314,14 +298,18 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed runs), kept_sha256 and, if ``keep_text``, kept (the other bytes; a
     cut can fall inside a character).  A null text is empty; texts shorter than
     ``length`` lose nothing; repeated rows repeat each other; a null id is an
-    id like any other; other columns of ``df`` are not read; an empty table
-    gives no rows."""
+    id like any other; a very long text is one row to a worker, which holds it
+    a few times over; there are no ties; other columns of ``df`` are not read,
+    whatever their names; an empty table gives no rows.  Work tables and the
+    result are written to the shared folder when this is called."""
     docs = with_key(df, id_col, text_col)
-    ranges = ranges_by_text(repeated_byte_ranges(docs, length))
+    work = Workspace(df.sparkSession)
+    places, runs = repeated_byte_runs(work, docs, length)
     schema = T.StructType(
         [T.StructField("_id", docs.schema["_id"].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField("kept_sha256", T.StringType())]
         + [T.StructField("kept", T.BinaryType())] * keep_text
     )
-    return with_texts(docs, ranges, "left").select("_id", "_text", "ranges").mapInArrow(_cut(keep_text), schema).withColumnRenamed("_id", id_col)
+    joined = with_texts(docs, ranges_by_text(places, runs), "left").select("_id", "_text", "ranges")
+    return work.result(joined.mapInArrow(_cut(keep_text), schema)).withColumnRenamed("_id", id_col)
