@@ -9,7 +9,7 @@ are merged by refining the interleave one symbol an iteration.  Where
 neighbours part gives their common prefix; those that are still together after
 ``length`` bytes are the repeated intervals.  No suffix is compared again.
 
-Symbols are runs of an eighth of the window, ranked within the task.  A run
+Symbols are runs of a quarter of the window, ranked within the task.  A run
 that very many different strings share is dealt out anew by longer runs, with
 fewer windows to a string, down to one; equal strings are one with a weight.
 """
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from .common import BYTE_CODES, Rolling, Workspace, covered_units, signed, text_blocks
 from .repeats import SEGMENT, parts_with_texts, range_arrays, ranges_by_text, repeated_segments, representatives, split_parts, survivors, taken_parts, with_key, with_texts
 
-#: symbols to a window: the interleave is refined so many times
-SYMBOLS = 8
+#: symbols to a window: the interleave is refined so many times, each costs time in proportion
+SYMBOLS = 4
 SHARD_BYTES = 1 << 16
 #: bytes of strings whose transforms are merged together, about
 CHUNK_BYTES = 1 << 19
