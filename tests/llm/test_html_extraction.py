@@ -2,7 +2,12 @@
 
 import html
 import re
+import time
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from posekeel.llm import html_extraction as module
 from posekeel.llm.html_extraction import Places, _infer, extract_text, kept_slots, page_tokens, show
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>no";</script></head><body>
@@ -13,11 +18,9 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
 <div id="sidebar">Links</div><footer>&copy; 2024</footer></body></html>"""
 
 
-def text_of(page, others=()):
-    streams = [page_tokens(p) for p in (page, *others)]
-    wrapper = _infer([" ".join(t) for t, _ in streams])
-    tokens, texts = streams[0]
-    return " ".join(t for t, k in zip(texts, kept_slots(tokens, wrapper)) if k)
+def text_of(page):
+    tokens, texts = page_tokens(page)
+    return " ".join(t for t, k in zip(texts, kept_slots(tokens)) if k)
 
 
 def test_full_page():
@@ -33,8 +36,42 @@ def test_odd_pages():
     assert text_of("<div role=main><p>m</p></div><div>rest</div>") == "m"
     assert text_of("<div class='page with-sidebar'><article><p>in</p></article></div>") == "in"
     assert text_of("<article><p>in</p></article><section class=comments><article>reader</article></section>") == "in"
-    # a page without an article on a host that has them keeps its body text
-    assert text_of("<body><p>plain</p></body>", ["<body><article><p>x</p></article></body>"]) == "plain"
+    assert text_of("<article><p>in<section class=discussion><p>we find</p></section><div class=alert>take care</div></article>") == "in we find take care"
+    assert text_of("<div class=banner>site</div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><p>plain</p><ul><li>point <a href=z>one</a></ul>") == "plain point one"
+    assert text_of("<article><p title='x>in <p>not \"closed</p></article>") == 'in not "closed'
+
+
+def test_broken_pages_take_linear_time():
+    """Unclosed quotes and elements, ten times as many, take about ten times as long."""
+    for piece in ("<p title=\"x' >a ", "<div>a", "<section><p>a", "<p><table>a", "<li>a</x>"):
+        took = []
+        for n in (3000, 30000):
+            page = "<p alt='" + piece * n
+            began = time.perf_counter()
+            tokens, texts = page_tokens(page)
+            kept_slots(tokens)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * took[0] + 0.5
+
+
+def test_long_alignments_are_halved(monkeypatch):
+    rnd = np.random.default_rng(1)
+    for _ in range(60):
+        a, b = (rnd.integers(0, 4, rnd.integers(0, 40)).astype(np.int32) for _ in "ab")
+        whole = module._aligned(a, b)
+        monkeypatch.setattr(module, "CELLS", 16)
+        halved = module._aligned(a, b)
+        monkeypatch.undo()
+        for pairs in (whole, halved):
+            assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        *_, last = module._common_rows(a, b)
+        assert len(whole) == len(halved) == last[-1]
+
+
+def test_repeats_of_any_size_are_folded():
+    block = "".join(f"<div><h{k}>t</h{k}><p>x</p></div>" for k in (1, 2, 3, 4, 5, 6))
+    tokens = page_tokens(f"<section>{block}</section>" * 3)[0]
+    assert show(_infer([" ".join(tokens)])).endswith("</section>)+")
 
 
 def test_wrapper_is_a_union_free_expression():
@@ -71,16 +108,29 @@ def test_places_are_those_of_the_wrapper():
     assert places.of_slots(["table", "#", "/table"]) == [-1] and places.of_slots([]) == []
 
 
-def test_what_repeats_on_a_host_is_template(spark):
+def test_what_repeats_on_a_host_is_template(spark, monkeypatch):
     notice, menu = "<div class=c1>We keep your data</div>", "<div><ul><li>Home<li>News<li>Contact</ul></div>"
     advert = lambda i: f"<div><h3>Buy {i % 3}</h3></div>"
     inside = [(i, "http://a/", f"<article>{notice}<h1>T{i}</h1><p>one {i}<p>two {i}{advert(i)}</article>") for i in range(40)]
     plain = [(100 + i, "http://b/", f"<body>{menu}<p>only {i}</p>{'<p>more %d</p>' % i if i % 2 else ''}{notice}</body>") for i in range(40)]
     few = [(200 + i, "http://c/", f"<body>{menu}<p>only {i}</p></body>") for i in range(3)]
     copies = [(300 + i, "http://d/", f"<body><div class=menu>{i}</div><article><p>copied</p></article></body>") for i in range(9)]
-    frame = spark.createDataFrame(inside + plain + few + copies, "page_id long, url string, html string")
+    near = [(400 + i, "http://e/", f"<article><h1>N{i}</h1><p>{'a long one ' * 9}<p>{'and another ' * 9}<p>end {i}</article>") for i in range(9)]
+    frame = spark.createDataFrame(inside + plain + few + copies + near, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in extract_text(frame).collect()}
     assert all(got[i] == f"T{i} one {i} two {i}" for i in range(40))
     assert all(got[100 + i] == f"only {i}" + (f" more {i}" if i % 2 else "") for i in range(40))
     assert all(got[200 + i] == f"Home News Contact only {i}" for i in range(3))
     assert all(got[300 + i] == "copied" for i in range(9))
+    assert all(got[400 + i].count("a long one") == 9 for i in range(9))
+    # without wrappers every page is judged by tags alone, and keeps its template
+    monkeypatch.setattr(module, "infer_wrappers", lambda work, skeletons: skeletons.select("host", F.lit("[]").alias("wrapper")).distinct())
+    bare = {r.page_id: r.text for r in extract_text(frame).collect()}
+    assert all("We keep your data" in bare[i] for i in (*range(40), *range(100, 140)))
+
+
+def test_a_host_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(module, "FAN_IN", 3)
+    pages = [(i, "http://h/", "<div>Menu of all</div>" + "".join(f"<h{1 + (i >> k) % 2}>w{i} {k}</h{1 + (i >> k) % 2}>" for k in range(5))) for i in range(32)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"w{i} {k}" for k in range(5)) for i in range(32)}
