@@ -48,8 +48,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Lines are compared without blanks at their ends; blank lines stay.  The
     rows with the least id that have a line keep it (all of them, if ids
     repeat; a null id only if no other id has the line).  A null site is a site
-    of its own; a null text stays null with no lines; repeated rows are treated
-    alike; an empty table gives no rows."""
+    of its own; a null text stays null with no lines, an empty one empty; repeated
+    rows are treated alike; the lines of a very long text are rows until their
+    places are gathered; ties in ids as said; an empty table gives no rows.
+    Work tables are written when this is called."""
     own = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = df.select(
         *own,
@@ -72,9 +74,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         .where(~F.col("_id").eqNullSafe(F.col("holder")))
         .groupBy("_ka", "_kb").agg(F.collect_set("_pos").alias("_gone"))
     )
-    joined = docs.join(gone.hint("shuffle_hash"), ["_ka", "_kb"], "left")
+    joined = docs.join(gone.hint("shuffle_hash"), ["_ka", "_kb"], "left").withColumn("_all", F.when(F.col("_gone").isNotNull(), F.split(F.col(text_col), "\n")))
     all_lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    # the places that stay are sorted out once, not looked up for every line
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("_all", i)), "\n")
     count = F.size(F.filter(all_lines, lambda x: F.btrim(x, F.lit(EDGE)) != ""))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
     return joined.select(

@@ -31,8 +31,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 10
 BAND_ROWS = 3
-#: bins of document frequencies: the table that is broadcast has so many
-DF_BITS = 18
+#: bins of document frequencies: the table that is broadcast has so many, four
+#: megabytes.  A shingle's frequency is known to a bin's share of all shingles of
+#: a document, about a two-thousandth of the documents, whatever the corpus.
+DF_BITS = 20
 #: centres of a group in each of the first rounds
 CENTRES = (1, 4)
 #: nodes outside the largest component that are held in a block, and members
@@ -314,7 +316,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Word sequences that are equal are similar.  A text without words (null,
     empty, blank) is in no class and has its own id; null ids stand aside when
     the least id is taken, unless a class has no other; repeated rows share a
-    class; other columns are not read; an empty table gives no rows."""
+    class; a very long text is held by one worker at a time; ties between equal
+    samples go to the first shingle by hash; other columns are not read, whatever
+    their names; an empty table gives no rows.  Work tables are written when
+    this is called."""
     rows = _classified(df, id_col, text_col, threshold)
     least = stash(rows.where("label is not null").groupBy("label").agg(F.min("_id").alias("class_id")))
     joined = rows.join(least, "label", "left")

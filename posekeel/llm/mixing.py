@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Each source's budget is met with whole passes over the source, then with
-documents chosen by exact length: their counts are scaled down in proportion,
-the gap is filled from the longest down and closed by bounded-knapsack dynamic
-programming.  Which documents of a length are taken is decided by seeded hash.
+documents chosen by exact length: the counts of lengths are scaled down in
+proportion, and what that leaves of the budget is settled by bounded-knapsack
+dynamic programming over all lengths.  Which documents of a length are taken
+is decided by seeded hash.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import Workspace
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: capacity in words of the first dynamic programme; what is left above it is
-#: filled greedily
-KNAPSACK_WORDS = 4096
-#: capacity of the second, in longest documents: it settles what the first leaves
+#: the dynamic programme settles so many longest documents, or more
 SETTLED = 4
+#: and has so many more documents to choose from, short ones
+CHOICES = 16
+#: hash bins in which the last document taken of a length is looked for
 HASH_BINS = 1024
+#: rows of the table of cuts that is broadcast (about 64 bytes each); a larger
+#: one is joined by shuffling
+BROADCAST_ROWS = 1 << 19
 
 
 def n_tokens(text: Column) -> Column:
@@ -87,42 +91,37 @@ def _nearest_sum(lengths: Sequence[int], counts: Sequence[int], goal: int, most:
     return taken
 
 
-def bounded_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many of each length to take so that the sum is as near below
-    ``budget`` as it can be."""
-    return _nearest_sum(lengths, counts, budget, budget)
-
-
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """Documents of each length whose sum is near ``budget``, 0 included: the
-    nearest there is if the budget is within SETTLED times the longest length."""
+    nearest there is if the budget is within SETTLED times the longest length.
+
+    Counts in proportion leave less than one document of each length; those are
+    added from the longest down.  Then documents are given back, one of each
+    length in turn, until the dynamic programme has room for SETTLED longest
+    ones, and CHOICES short ones; it finds the nearest sum, a longest document
+    past the budget too."""
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
     take = [budget * c // total for c in counts]
     gap = budget - sum(n * t for n, t in zip(lengths, take))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    longest = lengths[order[0]]
     for i in order:
-        if gap <= KNAPSACK_WORDS:
-            break
-        more = min(counts[i] - take[i], (gap - KNAPSACK_WORDS // 2) // lengths[i] if gap > KNAPSACK_WORDS else 0)
-        take[i] += more
-        gap -= more * lengths[i]
-    small = [i for i in range(len(lengths)) if 0 < lengths[i] <= gap and counts[i] > take[i]]
-    if gap <= max(KNAPSACK_WORDS, 1) and small:
-        for i, more in zip(small, bounded_knapsack([lengths[i] for i in small], [counts[i] - take[i] for i in small], gap)):
-            take[i] += more
-            gap -= more * lengths[i]
+        if gap >= lengths[i] + SETTLED * longest and counts[i] > take[i]:
+            take[i] += 1
+            gap -= lengths[i]
     if gap == 0:
         return take
-    # documents are given back, one of each length in turn, until there is
-    # room to settle the rest from all lengths, a longest document past it too
-    longest = lengths[order[0]]
     while gap < SETTLED * longest and any(take):
         for i in order:
             if take[i] and gap < SETTLED * longest:
                 take[i] -= 1
                 gap += lengths[i]
+    more = CHOICES
+    for i in reversed(order):
+        back = min(more, take[i])
+        take[i], gap, more = take[i] - back, gap + back * lengths[i], more - back
     spare = [i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > take[i]]
     for i, more in zip(spare, _nearest_sum([lengths[i] for i in spare], [counts[i] - take[i] for i in spare], gap, gap + longest)):
         take[i] += more
@@ -139,52 +138,63 @@ def mix_sources(
     times its own.  All columns of ``df`` are kept; added are size, source_size,
     target and taken (words the mix takes of the document, a multiple of size
     up to three times), which replace columns of those names.  A null text has
-    size 0 and takes 0; documents of one source and length are chosen by a
-    seeded hash of id and text, ties (repeated rows) in any one order, which
-    changes no total; an empty table gives no rows."""
+    size 0 and takes 0, an empty one too; documents of one source and length
+    are chosen by a seeded hash of id and text, ties (repeated rows) in any one
+    order, which changes no total; a very long text makes the dynamic programme
+    as large as SETTLED such texts have words; an empty table gives no rows.
+    Work tables are written when this is called."""
     count = n_tokens(F.col(text_col)) if size is None else size
     own = [c for c in df.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    docs = df.select(*own, count.alias("_n"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")).alias("_s")).withColumn(
-        "_h", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    ).withColumn("_bin", F.pmod(F.col("_h"), F.lit(HASH_BINS)).cast("int"))
-    # One row for each source, length and hash bin; everything below is
-    # decided on sums of it.
-    bins = stash(docs.groupBy("_s", "_n", "_bin").agg(F.count(F.lit(1)).alias("c")))
+    keys = {
+        "_n": count,
+        "_s": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")),
+        "_h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
+    }
+    work = Workspace(df.sparkSession)
+    # Source, length and hash of every document, counted and read once; all
+    # that follows is decided on it.
+    rows = work.put("rows", df.select(*[c.alias(k) for k, c in keys.items()]).withColumn("_bin", F.pmod("_h", F.lit(HASH_BINS)).cast("int")))
+    bins = work.put("bins", rows.groupBy("_s", "_n", "_bin").agg(F.count(F.lit(1)).alias("c")))
     lengths = bins.groupBy("_s", "_n").agg(F.sum("c").alias("count"))
     # One row for each source comes to the driver, as the targets hang together.
     sums = {r[0]: int(r[1]) for r in lengths.groupBy("_s").agg(F.sum(F.col("_n") * F.col("count")).alias("words")).collect()}
     names = sorted(sums, key=lambda s: (s == "", s))
     targets = water_fill([sums[s] for s in names], [weights[i % len(weights)] for i in range(len(names))])
     budget = [(s, sums[s], t) for s, t in zip(names, targets)]
-    spark = df.sparkSession
-    plan = spark.createDataFrame(budget, "_s string, source_size long, target double")
+    plan = df.sparkSession.createDataFrame(budget, "_s string, _total long, _target double")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_n")
         used = frame[frame["_n"] > 0]
-        total, target = int(frame["source_size"].iloc[0]), int(round(frame["target"].iloc[0]))
+        total, target = int(frame["_total"].iloc[0]), int(round(frame["_target"].iloc[0]))
         passes = min(MAX_PASSES, target // total) if total else 0
         rest = fit_counts(used["_n"].tolist(), used["count"].tolist(), target - passes * total) if total and passes < MAX_PASSES else [0] * len(used)
-        return frame[["_s", "_n", "source_size", "target"]].assign(passes=passes, quota=[0] * (len(frame) - len(used)) + rest)
+        return frame[["_s", "_n", "_total", "_target"]].assign(_passes=passes, quota=[0] * (len(frame) - len(used)) + rest)
 
     # Rows of a source here are its distinct lengths, not its documents.
-    quotas = lengths.join(plan, "_s").groupBy("_s").applyInPandas(fit, "_s string, _n long, source_size long, target double, passes long, quota long")
+    quotas = work.put("quotas", lengths.join(plan, "_s").groupBy("_s").applyInPandas(fit, "_s string, _n long, _total long, _target double, _passes long, quota long"))
+    # Of each length, the documents of least hash are taken: bins up to the cut
+    # as a whole, and of the cut's bin (one for each length) so many.
     running = Window.partitionBy("_s", "_n").orderBy("_bin")
-    edges = (
-        bins.withColumn("upto", F.sum("c").over(running))
-        .join(quotas, ["_s", "_n"])
-        .select(
-            "_s", "_n", "_bin", F.col("source_size").alias("_total"), F.col("target").alias("_target"), F.col("passes").alias("_passes"),
-            F.greatest(F.lit(0), F.least(F.col("c"), F.col("quota") - F.col("upto") + F.col("c"))).alias("_take"), F.col("c").alias("_c"),
-        )
-    )
-    marked = docs.join(edges, ["_s", "_n", "_bin"])
-    # A bin is taken whole, not at all, or (one bin for each source and
-    # length) in part; only the last needs an order.
-    part = (F.col("_take") > 0) & (F.col("_take") < F.col("_c"))
-    ranked = marked.where(part).withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_n", "_bin").orderBy("_h", F.col(id_col))))
-    whole = marked.where(~part).withColumn("_rank", F.lit(1))
-    both = whole.unionByName(ranked)
-    extra = F.when(F.col("_rank") <= F.col("_take"), 1).otherwise(0)
-    taken = (F.col("_n") * (F.col("_passes") + extra)).cast("long")
-    return both.select(*own, F.col("_n").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    upto = bins.withColumn("upto", F.sum("c").over(running)).join(quotas.select("_s", "_n", "quota"), ["_s", "_n"])
+    cuts = upto.where((F.col("upto") - F.col("c") < F.col("quota")) & (F.col("quota") < F.col("upto"))).select("_s", "_n", "_bin", (F.col("quota") - F.col("upto") + F.col("c")).alias("left"))
+    ranked = rows.join(cuts, ["_s", "_n", "_bin"]).groupBy("_s", "_n", "_bin", "_h", "left").agg(F.count(F.lit(1)).alias("same"))
+    order = Window.partitionBy("_s", "_n", "_bin").orderBy("_h")
+    last = ranked.withColumn("before", F.sum("same").over(order) - F.col("same")).where(F.col("before") < F.col("left"))
+    last = last.groupBy("_s", "_n").agg(F.max(F.struct("_h", (F.col("left") - F.col("before")).alias("more"), "same")).alias("last"))
+    ends = upto.where(F.col("upto") <= F.col("quota")).groupBy("_s", "_n").agg(F.max("_bin").alias("full"))
+    cut = cuts.select("_s", "_n", F.col("_bin").alias("edge"))
+    table = work.put("cuts", quotas.drop("quota").join(ends, ["_s", "_n"], "left").join(cut, ["_s", "_n"], "left").join(last, ["_s", "_n"], "left"))
+    # documents stay where they are while the table is known to be small
+    small = table.count() <= BROADCAST_ROWS
+    marked = df.select(*own, *[c.alias(k) for k, c in keys.items()]).join(F.broadcast(table) if small else table, ["_s", "_n"])
+    at = F.pmod("_h", F.lit(HASH_BINS)).cast("int")
+    tied = F.coalesce((at == F.col("edge")) & (F.col("_h") == F.col("last._h")) & (F.col("last.more") < F.col("last.same")), F.lit(False))
+    under = F.coalesce(at <= F.col("full"), F.lit(False)) | F.coalesce((at == F.col("edge")) & (F.col("_h") <= F.col("last._h")), F.lit(False))
+    whole = marked.where(~tied).withColumn("_extra", under.cast("int"))
+    if not table.where("last.more < last.same").isEmpty():  # rows that repeat whole, of which only some are taken
+        rank = F.row_number().over(Window.partitionBy("_s", "_n", "_h").orderBy(F.lit(0)))
+        whole = whole.unionByName(marked.where(tied).withColumn("_extra", (rank <= F.col("last.more")).cast("int")))
+    work.drop("rows", "bins", "quotas")
+    taken = (F.col("_n") * (F.col("_passes") + F.col("_extra"))).cast("long")
+    return whole.select(*own, F.col("_n").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))

@@ -277,8 +277,11 @@ def quality_classifier(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and kept (p_bad < threshold) are added, replacing columns of those names.
 
     Null texts are empty ones; texts under three bytes have no n-gram and are
-    scored by their binned features alone; all labellers abstain under 20 words.  Repeated rows get
-    one score; an empty table gives no rows."""
+    scored by their binned features alone; all labellers abstain under 20 words.
+    Repeated rows get one score and are one row of the sample; ties in the
+    sample's hash too; a very long text is scored whole by one worker; columns
+    with other names pass through; an empty table gives no rows.  The model is
+    fitted when this is called."""
     _, weights, bias = fit(df, id_col, text_col)
     own = [c for c in df.columns if c.lower() not in ("p_bad", "kept", "_text")]
     schema = T.StructType([df.schema[c] for c in own] + [T.StructField("p_bad", T.DoubleType())])

@@ -17,8 +17,8 @@ from .common import stash
 BLANKS = r"[\x20\x09-\x0D]+"
 #: bins of the multinomials: the table that is broadcast has so many rows
 BINS = 1 << 16
-#: trusted ids that are used at most, those of least hash: broadcast as ids
-TRUSTED_DOCS = 20000
+#: trusted ids that are broadcast, eight bytes each or so; more are joined by shuffling
+BROADCAST_IDS = 1 << 20
 #: pseudo-count of a bin in either multinomial
 PSEUDO = 5.0
 #: least mean log ratio of a document that is kept
@@ -96,13 +96,17 @@ def quality_rules(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     (mean log ratio, 0 without words) and kept.
 
     ``trusted`` has the ids of trusted documents in ``id_col``.  A null text
-    has no words and fails; null ids are never trusted; repeated rows are
-    judged alike and all returned; without trusted documents all ratios are 0;
-    an empty table gives no rows.  Other columns of ``df`` are not read."""
-    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_t")).distinct().orderBy(F.xxhash64("_t"), "_t").limit(TRUSTED_DOCS)
+    has no words and fails, an empty one too; null ids are never trusted;
+    repeated rows are judged alike and all returned; without trusted documents
+    all ratios are 0; a very long text is one row with an array of its words;
+    there are no ties; an empty table gives no rows.  Other columns of ``df``
+    are not read, whatever their names.  Counts are made when this is called."""
+    ids = trusted.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_t")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     source = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     keyed = source.withColumns({"_ka": F.xxhash64("_id", "_text"), "_kb": F.xxhash64(F.lit(17), F.length("_text"), "_text", "_id")})
-    flagged = source.join(F.broadcast(ids), F.col("_id") == F.col("_t"), "left").withColumn("_trusted", F.col("_t").isNotNull())
+    flagged = source.join(ids, F.col("_id") == F.col("_t"), "left").withColumn("_trusted", F.col("_t").isNotNull())
     ratios = log_ratios(flagged, "_text", "_trusted")
     grams = _gram_bins(keyed.select("_ka", "_kb", "_text"), "_text").join(F.broadcast(ratios), "bin")
     scores = grams.groupBy("_ka", "_kb").agg((F.sum("ratio") / F.count(F.lit(1)) / SCALE).alias("_score"))

@@ -49,7 +49,7 @@ def test_against_brute_force(spark, monkeypatch):
     for seed in range(3):
         docs, items = case(seed)
         if seed == 2:
-            monkeypatch.setattr(module, "BLOCK_WINDOW_BYTES", 20)  # several blocks
+            monkeypatch.setattr(module, "BLOCK_WORDS", 5)  # several blocks, and items over several
         d = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id long, text string, n_words string")
         b = spark.createDataFrame(items, "item_id long, text string")
         rows = decontaminate(d, b, length=4, spans=False).collect()
@@ -63,6 +63,23 @@ def test_spans_are_offsets_of_the_original(spark):
     assert [(s.item_id, row and "xx Éa, BEE --  c! yy"[s.start : s.end]) for s in row.spans] == [("7", "Éa, BEE --  c")]
 
 
+def test_blocks_of_long_items_overlap(monkeypatch):
+    monkeypatch.setattr(module, "BLOCK_WORDS", 6)
+    text = " ".join(f"w{i}" for i in range(50))
+    blocks = list(module.item_blocks(iter([("a", text), ("b", "x y"), ("c", None)]), 4))
+    found = {w for block in blocks for _, j in block for n in [j.split(b" ")] for i in range(max(1, len(n) - 3)) for w in [tuple(n[i : i + 4])]}
+    assert found == {tuple(f"w{k}".encode() for k in range(i, i + 4)) for i in range(47)} | {(b"x", b"y")}
+    assert all(sum(len(j.split()) for _, j in b) <= 6 + 3 for b in blocks)
+
+
+def test_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    text = "w " * 400_000 + item + " w" * 400_000
+    row = decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([("i", item)], "item_id string, text string")).first()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (800_014, 14, 1, False)
+    assert [text[s.start : s.end].split()[0] for s in row.spans] == ["q0", "q1"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

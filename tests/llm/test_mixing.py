@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 
 from posekeel.llm import mixing
-from posekeel.llm.mixing import bounded_knapsack, fit_counts, mix_sources, water_fill
+from posekeel.llm.mixing import _nearest_sum, fit_counts, mix_sources, water_fill
 
 
 def test_water_fill_shares_all():
@@ -23,23 +23,23 @@ def test_knapsack_is_exact():
         counts = [rnd.randint(0, 3) for _ in lengths]
         budget = rnd.randint(0, 40)
         best = max(s for c in itertools.product(*[range(n + 1) for n in counts]) if (s := sum(a * b for a, b in zip(c, lengths))) <= budget)
-        got = bounded_knapsack(lengths, counts, budget)
+        got = _nearest_sum(lengths, counts, budget, budget)
         assert all(g <= c for g, c in zip(got, counts))
         assert sum(a * b for a, b in zip(got, lengths)) == best
 
 
-def test_fit_counts_is_near(monkeypatch):
+def test_fit_counts_is_near():
     rnd = random.Random(4)
-    for cap in (4096, 20):
-        monkeypatch.setattr(mixing, "KNAPSACK_WORDS", cap)
+    for most in (40, 1):
         for _ in range(60):
             lengths = sorted(rnd.sample(range(1, 500), 12))
-            counts = [rnd.randint(1, 40) for _ in lengths]
+            counts = [rnd.randint(1, most) for _ in lengths]
             total = sum(a * b for a, b in zip(lengths, counts))
             budget = rnd.randint(0, total)
             got = fit_counts(lengths, counts, budget)
             assert all(0 <= g <= c for g, c in zip(got, counts))
-            assert abs(sum(a * b for a, b in zip(got, lengths)) - budget) <= max(lengths[0], 1) if cap == 4096 else max(lengths)
+            best = min(abs(sum(c) - budget) for n in range(13) for c in itertools.combinations(lengths, n)) if most == 1 else lengths[0]
+            assert abs(sum(a * b for a, b in zip(got, lengths)) - budget) <= best
 
 
 def test_long_documents_of_unique_lengths_are_settled():
@@ -83,5 +83,21 @@ def test_mix(spark):
         assert abs(taken[s] - targets[s]) <= 1 or abs(taken[s] - targets[s]) < 0.02 * max(total[s], 50)
 
 
+def test_repeated_rows_and_joins_by_shuffle(spark, monkeypatch):
+    """Of equal rows some are taken; a table of cuts too large to broadcast gives the same."""
+    data = [(1, "a b c", "s")] * 50 + [(2, "d e", "t")] * 100
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mix_sources(frame, weights=(1, 2)).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "st"}
+    assert len(got) == 150 and abs(taken["s"] - 350 / 3) <= 2 and abs(taken["t"] - 700 / 3) <= 2
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    again = mix_sources(frame, weights=(1, 2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    mixed = spark.createDataFrame([(*r, 1, "t") for r in rows(7)], "doc_id long, text string, source string, size int, target string")
+    shuffled = sorted(map(str, mix_sources(mixed).collect()))
+    monkeypatch.undo()
+    assert sorted(map(str, mix_sources(mixed).collect())) == shuffled
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
