@@ -1,11 +1,13 @@
 """Operator 7: exact round trip."""
 
 import base64
+import gzip
 import hashlib
 from collections import Counter
 
 import pytest
 
+from posekeel.llm import warc as module
 from posekeel.llm.warc import parse_records, read_archives, warc_roundtrip
 
 
@@ -37,6 +39,22 @@ def test_round_trip(spark, tmp_path, min_bytes):
     assert len(set(ids)) == len(rows) and not set(ids) & {r.record_id for r in back}
 
 
+def test_large_payloads_go_to_files_of_few_records(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), CASE WHEN id % 2 = 0 THEN 200000 ELSE 5 END) AS html").repartition(1)
+    warc_roundtrip(pages, raw_path=str(tmp_path / "raw"), path=str(tmp_path / "out"))
+    for folder in ("raw", "out"):
+        sizes = [len(list(parse_records(p.read_bytes()))) for p in (tmp_path / folder).glob("*.gz")]
+        assert sum(sizes) == 40 and sorted(n for n in sizes if n)[-1] == 25 and max(sorted(sizes)[:-1]) <= module.LARGE_FILE_RECORDS
+
+
+def test_archives_of_many_members_in_small_pieces(monkeypatch):
+    records = [f"WARC/1.1\r\nX: {i}\r\nContent-Length: {3 * i}\r\n\r\n{'a\r\n' * i}\r\n\r\n".encode() for i in range(20)]
+    monkeypatch.setattr(module, "PIECE", 7)
+    for data in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))):
+        got = list(parse_records(data))
+        assert [(f["x"], b) for f, b in got] == [(str(i), b"a\r\n" * i) for i in range(20)]
+
+
 def test_cut_archive_is_refused():
     with pytest.raises(ValueError):
         list(parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
