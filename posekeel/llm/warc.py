@@ -86,7 +86,7 @@ def write_archives(records: DataFrame, path: str, large: bool | None = None) ->
     seen = Observation()
     if large is None:
         records = records.observe(seen, F.count(F.when(F.col("payload_bytes") > LARGE_PAYLOAD, 1)).alias("n"))
-    writer = lambda df, n: df.select("value").write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
+    writer = lambda df, n: df.select("value").write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", n).text(path)
     writer(records.where(F.col("payload_bytes") <= LARGE_PAYLOAD), FILE_RECORDS)
     if seen.get["n"] > 0 if large is None else large:
         writer(records.where(F.col("payload_bytes") > LARGE_PAYLOAD), LARGE_FILE_RECORDS)
