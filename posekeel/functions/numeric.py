@@ -99,6 +99,53 @@ def hull_measures(points: np.ndarray) -> dict[str, float]:
     }
 
 
+def visibility_groups(poses: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, nodes) for each set of visible nodes that occurs in some poses:
+    within a group, geometry is arrays without gaps."""
+    ok = ~np.isnan(poses).any(2)
+    kinds, which = np.unique(ok, axis=0, return_inverse=True)
+    for k, visible in enumerate(kinds):
+        yield np.flatnonzero(which.ravel() == k), np.flatnonzero(visible)
+
+
+#: points up to which hulls are found by testing all pairs at once, and numbers
+#: of one such test
+PAIRED_POINTS, PAIRED_CELLS = 16, 1 << 21
+
+
+def hull_batch(poses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Area and compactness of the hull of each pose's visible points.  A side
+    of the hull is a pair with all other points on its left; poses in which
+    three points are in a line, or nearly, go through ``hull_measures``."""
+    area, compact = np.zeros(len(poses)), np.zeros(len(poses))
+    for rows, nodes in visibility_groups(poses):
+        n = len(nodes)
+        if n < 3:
+            continue
+        step = max(1, PAIRED_CELLS // n**3) if n <= PAIRED_POINTS else len(rows)
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            p = poses[part][:, nodes]
+            rest = np.ones(len(part), bool)
+            if n <= PAIRED_POINTS:
+                d = p[:, None, :, :] - p[:, :, None, :]  # from point i to point j
+                side = d[:, :, :, None, 0] * d[:, :, None, :, 1] - d[:, :, :, None, 1] * d[:, :, None, :, 0]
+                i, j, k = np.ogrid[:n, :n, :n]
+                same = (i == j) | (i == k) | (j == k)
+                size = np.square(d).sum(3).max((1, 2))
+                rest = (np.where(same, np.inf, np.abs(side)).min((1, 2, 3)) <= 1e-9 * size) | (size == 0)
+                edge = (same | (side > 0)).all(3) & (np.arange(n)[:, None] != np.arange(n))
+                cross = p[:, :, None, 0] * p[:, None, :, 1] - p[:, None, :, 0] * p[:, :, None, 1]
+                whole = np.abs((cross * edge).sum((1, 2))) / 2
+                around = (np.sqrt(np.square(d).sum(3)) * edge).sum((1, 2))
+                area[part] = whole
+                compact[part] = np.where(around > 0, 4 * np.pi * whole / np.where(around > 0, around, 1) ** 2, 0.0)
+            for r in np.flatnonzero(rest):
+                got = hull_measures(p[r])
+                area[part[r]], compact[part[r]] = got["area"], got["compactness"]
+    return area, compact
+
+
 def normalised_pose(xy: np.ndarray) -> np.ndarray:
     """Poses (n, nodes, 2) centred on their visible mean and divided by the
     diagonal of their box (1 if under 1e-6); missing nodes stay missing, and
@@ -113,16 +160,15 @@ def normalised_pose(xy: np.ndarray) -> np.ndarray:
     return np.where(few[:, None, None], xy, (masked - centre) / scale)
 
 
-def pca_axis(points: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Mean and main direction of some points, if they spread at all."""
-    if len(points) < 2:
-        return None
-    origin = points.mean(0)
-    c = points - origin
-    if np.abs(c).max() < 1e-6:
-        return None
-    xx, yy, xy = (c[:, 0] ** 2).mean(), (c[:, 1] ** 2).mean(), (c[:, 0] * c[:, 1]).mean()
-    top = (xx + yy) / 2 + np.sqrt(max(0.0, (xx + yy) ** 2 / 4 - (xx * yy - xy * xy)))
-    v = np.array([top - yy, xy]) if abs(xy) > 1e-12 else np.array([1.0, 0.0] if xx >= yy else [0.0, 1.0])
-    n = np.hypot(*v)
-    return (origin, v / n) if n >= 1e-6 else None
+def pca_axes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and main direction of each of some point sets (m, points, 2), and
+    whether they spread at all."""
+    origin = points.mean(1)
+    c = points - origin[:, None]
+    xx, yy, xy = (c[:, :, 0] ** 2).mean(1), (c[:, :, 1] ** 2).mean(1), (c[:, :, 0] * c[:, :, 1]).mean(1)
+    top = (xx + yy) / 2 + np.sqrt(np.maximum(0.0, (xx + yy) ** 2 / 4 - (xx * yy - xy * xy)))
+    flat = np.where((xx >= yy)[:, None], [1.0, 0.0], [0.0, 1.0])
+    v = np.where((np.abs(xy) > 1e-12)[:, None], np.stack([top - yy, xy], 1), flat)
+    size = np.hypot(v[:, 0], v[:, 1])
+    spread = (np.abs(c).max((1, 2)) >= 1e-6) & (size >= 1e-6)
+    return origin, v / np.where(spread, size, 1)[:, None], spread

@@ -62,6 +62,12 @@ def append_node(instances: DataFrame, n: int) -> DataFrame:
     return instances.withColumns({f"{a}{n}": F.lit(None).cast("double") for a in "xyc"})
 
 
+def rename_node(names: list[str], node: int, name: str) -> list[str]:
+    """Node names with one changed; an empty or taken name changes nothing."""
+    name = name.strip()
+    return names if not name or name in names else [name if i == node else n for i, n in enumerate(names)]
+
+
 def add_edge(edges: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
     return edges if a == b or (a, b) in edges or (b, a) in edges else [*edges, (a, b)]
 

@@ -269,6 +269,35 @@ def patch_scores(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str,
     return df.mapInPandas(run, schema_with(df, patch=T.DoubleType()))
 
 
+def appearance_scores(df: DataFrame, reference: DataFrame, id_col: str, vec_col: str, n_tokens: int, k: int = 6, share: float = 0.25, budget: int = 2048) -> DataFrame:
+    """Adds score and scorer: patch distances where vectors divide into tokens
+    and the bank has two at least, else kNN distances, which scorer says."""
+    first = reference.select(F.size(vec_col).alias("d")).first()
+    if first is None or first["d"] % n_tokens or min(reference.limit(3).count() * n_tokens, budget) < 2:
+        return knn_outlier(df, reference, id_col, vec_col, k).withColumnRenamed("knn", "score").withColumn("scorer", F.lit("knn"))
+    return patch_scores(df, reference, id_col, vec_col, n_tokens, share, budget).withColumnRenamed("patch", "score").withColumn("scorer", F.lit("patch"))
+
+
+def packed(df: DataFrame, vec_col: str, n_tokens: int, grid: int = 4, dim: int = 64) -> DataFrame:
+    """Adds packed: the tokens of each vector, pooled and quantised to bytes;
+    null where they are no square or the vector is null."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = [None if v is None else pack_tokens(np.asarray(v, float).reshape(n_tokens, -1), grid, dim) for v in frame[vec_col]]
+            yield frame.assign(packed=[None if g is None else g.tobytes() for g in got])
+
+    return df.mapInPandas(run, schema_with(df, packed=T.BinaryType()))
+
+
+def unpacked(df: DataFrame, packed_col: str = "packed", dim: int = 64) -> DataFrame:
+    """Adds tokens: the unit tokens of a packed column, one after the other."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(tokens=[None if v is None else unpack_tokens(np.frombuffer(v, np.int8), dim).ravel().tolist() for v in frame[packed_col]])
+
+    return df.mapInPandas(run, schema_with(df, tokens=T.ArrayType(T.DoubleType())))
+
+
 def pack_tokens(tokens: np.ndarray, grid: int = 4, dim: int = 64, seed: int = 0x5EED1E) -> np.ndarray | None:
     """Pool a square of tokens to grid x grid, project to ``dim`` by a seeded
     Gaussian matrix, and quantise each unit token to a byte."""

@@ -76,6 +76,14 @@ def worst_angle(rows: DataFrame, s: Skeleton) -> DataFrame:
     return rows.withColumn("blame_angle", F.when(best.isNotNull(), F.struct(F.lit("angle").alias("kind"), best["nodes"].alias("nodes"), best["direction"].alias("direction"))))
 
 
+def worst_vertex(rows: DataFrame, chain: Sequence[int]) -> DataFrame:
+    """Adds blame_vertex: the inner node of a chain at which it bends most, first
+    on ties, from the k columns of its bends; null if it bends nowhere."""
+    parts = [F.when(F.col(f"k{i}").isNotNull(), F.struct(F.abs(f"k{i}").alias("k"), F.lit(-i).alias("i"), F.lit(chain[i]).alias("node"))) for i in range(1, len(chain) - 1)]
+    best = F.array_max(F.filter(F.array(*parts), lambda x: x.isNotNull())) if parts else F.lit(None).cast("struct<k: double, i: int, node: int>")
+    return rows.withColumn("blame_vertex", best["node"])
+
+
 def worst_visibility(rows: DataFrame, s: Skeleton, p: Mapping[str, float]) -> DataFrame:
     """Adds vis_node and vis_kind: the node most often blamed for a surprising
     absence or presence; -1 and null without one."""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from posekeel.config import FEATURES, QCConfig
 from posekeel.functions import geometry as g
 from posekeel.functions.columns import clean, schema_with
-from posekeel.functions.numeric import hull_measures, normalised_pose
+from posekeel.functions.numeric import hull_batch, normalised_pose
 from posekeel.plans.pose_view import KEY, Project
 from posekeel.skeleton import Skeleton
 
@@ -63,13 +63,11 @@ def pose_array(frame: pd.DataFrame, n: int) -> np.ndarray:
 
 
 def hull_columns(instances: DataFrame, n: int) -> DataFrame:
-    """Adds hull_area and hull_compactness; the hull is a stack algorithm, so it
-    runs in Arrow batches."""
+    """Adds hull_area and hull_compactness, a batch of poses at a time."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            xy = pose_array(frame, n)
-            got = [hull_measures(p[~np.isnan(p).any(1)]) for p in xy]
-            yield frame.assign(hull_area=[h["area"] for h in got], hull_compactness=[h["compactness"] for h in got])
+            area, compactness = hull_batch(pose_array(frame, n))
+            yield frame.assign(hull_area=area, hull_compactness=compactness)
 
     schema = schema_with(instances, hull_area=T.DoubleType(), hull_compactness=T.DoubleType())
     return instances.mapInPandas(run, schema)
@@ -115,8 +113,8 @@ def shape_columns(instances: DataFrame, fitted: Fitted, n: int, leave_one_out: b
             one, two = nearest_distance(np.nan_to_num(normalised_pose(xy).reshape(len(xy), -1)), reference)
             own = np.array([leave_one_out and k in keys for k in zip(frame["video_idx"], frame["frame_idx"], frame["inst_idx"])], bool)
             nn = np.where(own, np.where(np.isfinite(two), two, 0.0), one)
-            got = [hull_measures(p[~np.isnan(p).any(1)]) for p in xy]
-            yield frame.assign(nn_distance=nn, hull_area=[h["area"] for h in got], hull_compactness=[h["compactness"] for h in got])
+            area, compactness = hull_batch(xy)
+            yield frame.assign(nn_distance=nn, hull_area=area, hull_compactness=compactness)
 
     schema = schema_with(instances, nn_distance=T.DoubleType(), hull_area=T.DoubleType(), hull_compactness=T.DoubleType())
     return instances.mapInPandas(run, schema)

@@ -134,8 +134,38 @@ def clamped_histogram(rows: DataFrame, value: str, threshold: float, bins: int =
     return rows.groupBy(F.least(F.lit(bins - 1), F.greatest(F.lit(0), place)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: positions of a block: windows are over a block's rows, then over blocks
+BLOCK_POSITIONS = 4096
+
+
+def _beside(frames: DataFrame, hit: Column, group: str, order: str, forward: bool) -> DataFrame:
+    """Adds _beside: the nearest position with a hit after (before) each row's
+    in its group, round the end.  No task holds a group."""
+    block = F.floor(F.col(order) / BLOCK_POSITIONS)
+    pick, turn = (F.min, F.asc) if forward else (F.max, F.desc)
+    marked = frames.withColumns({"_b": block, "_at": F.when(hit, F.col(order))})
+    blocks = marked.groupBy(group, "_b").agg(pick("_at").alias("_p"))
+    past = Window.partitionBy(group).orderBy(turn("_b")).rowsBetween(1, Window.unboundedFollowing)
+    far = blocks.select(group, "_b", F.coalesce(pick("_p").over(past), pick("_p").over(Window.partitionBy(group))).alias("_far"))
+    near = pick("_at").over(Window.partitionBy(group, "_b").orderBy(turn(order)).rowsBetween(1, Window.unboundedFollowing))
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_fb"))
+    joined = marked.withColumn("_near", near).join(far.select(F.col(group).alias("_g"), F.col("_b").alias("_fb"), "_far"), same)
+    return joined.withColumn("_beside", F.coalesce("_near", "_far")).drop("_b", "_at", "_near", "_g", "_fb", "_far")
+
+
 def next_flagged(frames: DataFrame, flag: str, group: str, order: str) -> DataFrame:
     """For each frame the next flagged one of its group, round the end."""
-    at = F.when(F.col(flag), F.col(order))
-    after = F.min(at).over(Window.partitionBy(group).orderBy(order).rowsBetween(1, Window.unboundedFollowing))
-    return frames.withColumn("next_flagged", F.coalesce(after, F.min(at).over(Window.partitionBy(group))))
+    return _beside(frames, F.col(flag), group, order, True).withColumnRenamed("_beside", "next_flagged")
+
+
+def previous_flagged(frames: DataFrame, flag: str, group: str, order: str) -> DataFrame:
+    """For each frame the flagged one before it in its group, round the start."""
+    return _beside(frames, F.col(flag), group, order, False).withColumnRenamed("_beside", "previous_flagged")
+
+
+def neighbours_in(frames: DataFrame, wanted: Column, group: str, order: str) -> DataFrame:
+    """Rows of a filtered list with the one before and after each in it, round
+    both ends."""
+    listed = frames.where(wanted)
+    after = _beside(listed, F.lit(True), group, order, True).withColumnRenamed("_beside", "after")
+    return _beside(after, F.lit(True), group, order, False).withColumnRenamed("_beside", "before")

@@ -1,4 +1,5 @@
-"""Left/right flips and split poses: per-row geometry in Arrow batches."""
+"""Left/right flips and split poses: geometry of whole Arrow batches, taken
+by groups of poses with the same visible nodes."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posekeel.functions.columns import schema_with
-from posekeel.functions.numeric import pca_axis
+from posekeel.functions.numeric import pca_axes, visibility_groups
 from posekeel.operators.features import pose_array
 from posekeel.skeleton import Skeleton, parts_without_edge
 
@@ -22,40 +23,36 @@ from posekeel.skeleton import Skeleton, parts_without_edge
 MIN_LATERAL, MIN_STRADDLE = 0.2, 0.15
 
 
-def seen(p: np.ndarray) -> np.ndarray:
-    return ~np.isnan(p).any(-1)
-
-
-def midline_of(pose: np.ndarray, midline: Sequence[int], sided: Sequence[int]) -> np.ndarray | None:
-    """Polyline along the visible midline nodes, else the main axis of the
-    visible nodes that are on no side."""
-    ok = seen(pose)
-    line = [i for i in midline if ok[i]]
+def midlines(poses: np.ndarray, nodes: np.ndarray, midline: Sequence[int], sided: Sequence[int]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Polylines along the visible midline nodes, else the main axis of the
+    visible nodes that are on no side; and which poses have one."""
+    line = [i for i in midline if i in nodes]
     if len(line) >= 2:
-        return pose[line]
-    axis = pca_axis(pose[[i for i in range(len(pose)) if ok[i] and i not in sided]])
-    return None if axis is None else np.stack([axis[0], axis[0] + axis[1]])
+        return poses[:, line], np.ones(len(poses), bool)
+    rest = [i for i in nodes if i not in sided]
+    if len(rest) < 2:
+        return None
+    origin, way, spread = pca_axes(poses[:, rest])
+    return np.stack([origin, origin + way], 1), spread
 
 
-def side_of_pair(left: np.ndarray, right: np.ndarray, line: np.ndarray) -> int:
+def sides_of_pair(left: np.ndarray, right: np.ndarray, lines: np.ndarray) -> np.ndarray:
     """+1 or -1 for the side the left node is on, 0 if the pair does not tell."""
-    a, step = line[:-1], np.diff(line, axis=0)
-    length = (step**2).sum(1)
+    step = np.diff(lines, axis=1)
+    length = (step**2).sum(2)
     ok = length >= 1e-12
-    if not ok.any():
-        return 0
-    a, step, length = a[ok], step[ok], length[ok]
-    middle = (left + right) / 2
-    t = np.clip(((middle - a) * step).sum(1) / length, 0, 1)
-    feet = a + t[:, None] * step
-    k = ((middle - feet) ** 2).sum(1).argmin()
-    foot, along = feet[k], step[k] / np.sqrt(length[k])
-    across = lambda p: along[0] * (p[1] - foot[1]) - along[1] * (p[0] - foot[0])
-    sl, sr, reach = across(left), across(right), np.hypot(*(left - foot))
-    if reach < 1e-9 or abs(sl) / reach < MIN_LATERAL or sl * sr >= 0:
-        return 0
-    apart = abs(sl - sr)
-    return 0 if apart < 1e-9 or min(abs(sl), abs(sr)) / apart < MIN_STRADDLE else int(np.sign(sl))
+    middle = ((left + right) / 2)[:, None]
+    t = np.clip(((middle - lines[:, :-1]) * step).sum(2) / np.where(ok, length, 1), 0, 1)
+    feet = lines[:, :-1] + t[:, :, None] * step
+    apart = np.where(ok, ((middle - feet) ** 2).sum(2), np.inf)
+    row, k = np.arange(len(lines)), apart.argmin(1)
+    foot, along = feet[row, k], step[row, k] / np.sqrt(np.where(ok[row, k], length[row, k], 1))[:, None]
+    across = lambda p: along[:, 0] * (p[:, 1] - foot[:, 1]) - along[:, 1] * (p[:, 0] - foot[:, 0])
+    sl, sr, reach = across(left), across(right), np.hypot(*(left - foot).T)
+    wide = np.abs(sl - sr)
+    tells = ok.any(1) & (reach >= 1e-9) & (np.abs(sl) >= MIN_LATERAL * reach) & (sl * sr < 0) & (wide >= 1e-9)
+    tells &= np.minimum(np.abs(sl), np.abs(sr)) >= MIN_STRADDLE * wide
+    return np.where(tells, np.sign(sl), 0).astype(int)
 
 
 @dataclass(frozen=True)
@@ -67,19 +64,24 @@ class Chirality:
     side: dict[int, int]
 
 
-def midline_ranks(pose: np.ndarray, midline: Sequence[int]) -> dict[int, float]:
-    """Rank from 0 to 1 of the visible midline nodes along the pose's axis,
-    turned so that the first has the lower index."""
-    ok = seen(pose)
-    line = [i for i in midline if ok[i]]
-    axis = pca_axis(pose[ok])
-    if axis is None or len(line) < 2:
-        return {}
-    along = (pose[line] - axis[0]) @ axis[1]
-    order = [line[i] for i in np.argsort(along, kind="stable")]
-    if order[0] > order[-1]:
-        order.reverse()
-    return {node: r / (len(order) - 1) for r, node in enumerate(order)}
+def midline_ranks(poses: np.ndarray, midline: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts, for each node, of its rank from 0 to 1 among the visible
+    midline nodes along a pose's axis, turned so that the first has the lower
+    index."""
+    total, count = np.zeros(poses.shape[1]), np.zeros(poses.shape[1], int)
+    for rows, nodes in visibility_groups(poses):
+        line = np.array([i for i in midline if i in nodes], int)
+        if len(line) < 2:
+            continue
+        p = poses[rows]
+        origin, way, spread = pca_axes(p[:, nodes])
+        order = np.argsort(((p[:, line] - origin[:, None]) * way[:, None]).sum(2), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        turned = line[order[:, 0]] > line[order[:, -1]]
+        place = np.where(turned[:, None], len(line) - 1 - place, place)[spread]
+        total[line] += place.sum(0) / (len(line) - 1)
+        count[line] += len(place)
+    return total, count
 
 
 def fit_chirality(instances: DataFrame, s: Skeleton) -> Chirality | None:
@@ -92,8 +94,8 @@ def fit_chirality(instances: DataFrame, s: Skeleton) -> Chirality | None:
 
     def ranks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(node, r) for pose in pose_array(frame, n) for node, r in midline_ranks(pose, midline).items()]
-            yield pd.DataFrame(rows, columns=["node", "r"]).groupby("node", as_index=False).agg(total=("r", "sum"), c=("r", "count"))
+            total, count = midline_ranks(pose_array(frame, n), midline)
+            yield pd.DataFrame({"node": np.arange(n), "total": total, "c": count})[count > 0]
 
     order = midline
     if len(midline) >= 2:
@@ -103,36 +105,53 @@ def fit_chirality(instances: DataFrame, s: Skeleton) -> Chirality | None:
 
     def sides(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, v) for pose in pose_array(frame, n) for k, v in _sides(pose, pairs, order, sided).items() if v]
-            yield pd.DataFrame(rows, columns=["pair", "v"]).groupby("pair", as_index=False).agg(total=("v", "sum"))
+            told = _sides(pose_array(frame, n), pairs, order, sided)
+            yield pd.DataFrame({"pair": np.arange(len(pairs)), "total": told.sum(0)})[(told != 0).any(0)]
 
     got = instances.mapInPandas(sides, "pair int, total long").groupBy("pair").agg(F.sum("total").alias("t")).collect()
     return Chirality(tuple(pairs), tuple(order), {r["pair"]: 1 if r["t"] >= 0 else -1 for r in got})
 
 
-def _sides(pose: np.ndarray, pairs: Sequence[tuple[int, int]], midline: Sequence[int], sided: set[int]) -> dict[int, int]:
-    line = midline_of(pose, midline if len(midline) >= 2 else [], sided)
-    ok = seen(pose)
-    return {} if line is None else {k: side_of_pair(pose[a], pose[b], line) for k, (a, b) in enumerate(pairs) if ok[a] and ok[b]}
+def _sides(poses: np.ndarray, pairs: Sequence[tuple[int, int]], midline: Sequence[int], sided: set[int]) -> np.ndarray:
+    """Side of each pair (columns) in each pose, 0 where it does not tell."""
+    out = np.zeros((len(poses), len(pairs)), int)
+    for rows, nodes in visibility_groups(poses):
+        p = poses[rows]
+        found = midlines(p, nodes, midline if len(midline) >= 2 else [], sorted(sided))
+        if found is None:
+            continue
+        lines, has = found
+        for k, (a, b) in enumerate(pairs):
+            if a in nodes and b in nodes:
+                out[rows, k] = np.where(has, sides_of_pair(p[:, a], p[:, b], lines), 0)
+    return out
 
 
-def judge_chirality(pose: np.ndarray, model: Chirality) -> tuple[float, int]:
-    """(score, a node of the first wrong pair or -1).  Half or more wrong is
+def judge_chirality(poses: np.ndarray, model: Chirality) -> tuple[np.ndarray, np.ndarray]:
+    """Scores, and a node of the first wrong pair or -1.  Half or more wrong is
     0.9 at least; too few telling pairs are no evidence."""
-    told = {k: v for k, v in _sides(pose, model.pairs, model.midline, {i for p in model.pairs for i in p}).items() if v and k in model.side}
-    if len(told) < min(2, len(model.side) or 2):
-        return 0.0, -1
-    wrong = [k for k, v in told.items() if v != model.side[k]]
-    share = len(wrong) / len(told) if told else 0.0
-    return (max(0.9, share) if share >= 0.5 else share), min((min(model.pairs[k]) for k in wrong), default=-1)
+    told = _sides(poses, model.pairs, model.midline, {i for p in model.pairs for i in p})
+    usual = np.array([model.side.get(k, 0) for k in range(len(model.pairs))], int)
+    known = (told != 0) & (usual != 0)
+    wrong = known & (told != usual)
+    number = known.sum(1)
+    share = wrong.sum(1) / np.maximum(number, 1)
+    enough = number >= min(2, len(model.side) or 2)
+    first = np.array([min(p) for p in model.pairs], int)
+    node = np.where(wrong, first, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+    score = np.where(share >= 0.5, np.maximum(0.9, share), share)
+    return np.where(enough, score, 0.0), np.where(enough & wrong.any(1), node, -1)
 
 
 def chirality_scores(instances: DataFrame, model: Chirality | None, n: int) -> DataFrame:
     """Adds chirality and chirality_node."""
+    if model is None:
+        return instances.withColumns({"chirality": F.lit(0.0), "chirality_node": F.lit(-1)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [judge_chirality(p, model) if model else (0.0, -1) for p in pose_array(frame, n)]
-            yield frame.assign(chirality=[x[0] for x in got], chirality_node=[x[1] for x in got])
+            score, node = judge_chirality(pose_array(frame, n), model)
+            yield frame.assign(chirality=score, chirality_node=node.astype(np.int32))
 
     return instances.mapInPandas(run, schema_with(instances, chirality=T.DoubleType(), chirality_node=T.IntegerType()))
 
@@ -184,7 +203,6 @@ class Split:
     score: float = 0.0
     ratio: float = 0.0
     gap: float = 0.0
-    bridge: tuple[int, int] | None = None
 
 
 def split_by_distance(p: np.ndarray) -> Split:
@@ -207,27 +225,42 @@ def split_by_distance(p: np.ndarray) -> Split:
     return Split(score, share, gap)
 
 
-def split_pose(pose: np.ndarray, s: Skeleton, lengths: dict[tuple[int, int], tuple[float, float]]) -> Split:
-    """How much a pose looks like parts of two animals joined by one
-    over-stretched edge.  ``lengths`` are mean and deviation of each edge."""
-    nodes = [i for i in range(len(pose)) if not np.isnan(pose[i]).any()]
-    if len(nodes) < MIN_NODES:
-        return Split()
-    edges = list(dict.fromkeys((min(a, b), max(a, b)) for i in nodes for a, b in ((i, j) for j in s.neighbours[i]) if b in nodes))
-    z = {e: (np.hypot(*(pose[e[0]] - pose[e[1]])) - lengths[e][0]) / max(lengths[e][1], TINY) for e in edges if e in lengths}
-    degree = [sum(i in e for e in edges) for i in nodes]
-    star = bool(edges) and max(degree) >= max(len(nodes) - 1, len(edges) - 1)
-    if not z or len(edges) < 2 or star:
-        return split_by_distance(pose[nodes])
-    bridge = max(z, key=z.__getitem__)
-    parts = parts_without_edge(nodes, edges, bridge)
-    if len(parts) != 2:
-        return Split()
-    a, b = (pose[x] for x in parts)
-    share = min(len(a), len(b)) / len(nodes)
-    spread = max(np.hypot(*(x - x.mean(0)).T).mean() if len(x) > 1 else 0.0 for x in (a, b))
-    gap = float(np.hypot(*(a.mean(0) - b.mean(0))) / max(spread, TINY))
-    return Split(max(z[bridge], 0) * _balance(share) * max(gap - MIN_GAP, 0), share, gap, bridge)
+def split_poses(poses: np.ndarray, s: Skeleton, lengths: dict[tuple[int, int], tuple[float, float]]) -> dict[str, np.ndarray]:
+    """How much each pose looks like parts of two animals joined by one
+    over-stretched edge: score, ratio, gap and bridge (-1 without one).
+    ``lengths`` are mean and deviation of each edge."""
+    m = len(poses)
+    out = {"score": np.zeros(m), "ratio": np.zeros(m), "gap": np.zeros(m), "bridge": np.full((m, 2), -1)}
+    for rows, nodes in visibility_groups(poses):
+        if len(nodes) < MIN_NODES:
+            continue
+        p, held = poses[rows], set(nodes.tolist())
+        edges = list(dict.fromkeys((min(i, j), max(i, j)) for i in nodes.tolist() for j in s.neighbours[i] if j in held))
+        known = [e for e in edges if e in lengths]
+        degree = [sum(i in e for e in edges) for i in held]
+        star = bool(edges) and max(degree) >= max(len(nodes) - 1, len(edges) - 1)
+        if not known or len(edges) < 2 or star:
+            for r, pose in zip(rows, p[:, nodes]):
+                got = split_by_distance(pose)
+                out["score"][r], out["ratio"][r], out["gap"][r] = got.score, got.ratio, got.gap
+            continue
+        ends = np.array(known)
+        usual = np.array([lengths[e] for e in known])
+        z = (np.hypot(*np.moveaxis(p[:, ends[:, 0]] - p[:, ends[:, 1]], 2, 0)) - usual[:, 0]) / np.maximum(usual[:, 1], TINY)
+        widest = z.argmax(1)
+        for k in np.unique(widest):
+            parts = parts_without_edge(nodes.tolist(), edges, known[k])
+            if len(parts) != 2:
+                continue
+            at = np.flatnonzero(widest == k)
+            a, b = (p[at][:, list(x)] for x in parts)
+            share = min(a.shape[1], b.shape[1]) / len(nodes)
+            centres = a.mean(1), b.mean(1)
+            around = [np.hypot(*np.moveaxis(x - c[:, None], 2, 0)).mean(1) if x.shape[1] > 1 else np.zeros(len(at)) for x, c in zip((a, b), centres)]
+            gap = np.hypot(*(centres[0] - centres[1]).T) / np.maximum(np.maximum(*around), TINY)
+            out["score"][rows[at]] = np.maximum(z[at, k], 0) * _balance(share) * np.maximum(gap - MIN_GAP, 0)
+            out["ratio"][rows[at]], out["gap"][rows[at]], out["bridge"][rows[at]] = share, gap, known[k]
+    return out
 
 
 def split_scores(instances: DataFrame, s: Skeleton, stats: dict[str, float]) -> DataFrame:
@@ -238,11 +271,9 @@ def split_scores(instances: DataFrame, s: Skeleton, stats: dict[str, float]) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [split_pose(p, s, lengths) for p in pose_array(frame, n)]
-            yield frame.assign(
-                pose_split=[x.score / (x.score + 1) for x in got], split_raw=[float(x.score) for x in got],
-                bridge_a=[x.bridge[0] if x.bridge else -1 for x in got], bridge_b=[x.bridge[1] if x.bridge else -1 for x in got],
-            )
+            got = split_poses(pose_array(frame, n), s, lengths)
+            bridge = got["bridge"].astype(np.int32)
+            yield frame.assign(pose_split=got["score"] / (got["score"] + 1), split_raw=got["score"], bridge_a=bridge[:, 0], bridge_b=bridge[:, 1])
 
     schema = schema_with(instances, pose_split=T.DoubleType(), split_raw=T.DoubleType(), bridge_a=T.IntegerType(), bridge_b=T.IntegerType())
     return instances.mapInPandas(run, schema)

@@ -21,6 +21,9 @@ class Run:
 
     project: Project
     config: QCConfig = QCConfig()
+    #: key and appearance (a robust z), from an appearance check of embeddings
+    appearance: DataFrame | None = None
+    appearance_threshold: float = 3.0
 
     @cached_property
     def fitted(self) -> features.Fitted:
@@ -59,15 +62,26 @@ class Run:
             out = zscore.anomaly_score(out, self.zscore_fit)
         if self.on("gmm") and self.mixture_fit:
             out = mixture.gmm_scores(out, self.mixture_fit)
-        poses = self.project.instances
+        poses, extra = self.project.instances, []
         if self.on("chirality"):
             poses = structure.chirality_scores(poses, structure.fit_chirality(self.project.instances, s), s.n_nodes)
+            extra += ["chirality", "chirality_node"]
         if self.on("poseSplit"):
             poses = structure.split_scores(poses, s, self.fitted.stats)
-        measured = g.add_layers(poses, [g.measures(s)[0]])
-        ordered = g.add_layers(measured, g.ordering(s.ordered_chains(self.config.ordered_chains)))
-        extra = [c for c in ("chirality", "chirality_node", "pose_split", "bridge_a", "bridge_b", "order_inversion_rate", "chain_intersection_count", "ordering_score") if c in ordered.columns]
-        return out.join(ordered.select(*KEY, *extra), list(KEY)).persist()
+            extra += ["pose_split", "bridge_a", "bridge_b"]
+        if self.on("ordering"):
+            poses = g.add_layers(g.add_layers(poses, [g.measures(s)[0]]), g.ordering(s.ordered_chains(self.config.ordered_chains)))
+            extra += ["order_inversion_rate", "chain_intersection_count", "ordering_score"]
+        if extra:  # without such a check there is neither geometry nor a join
+            out = out.join(poses.select(*KEY, *extra), list(KEY))
+        return out.persist()
+
+    def close(self) -> None:
+        """Give up what is held; later reads would make it anew."""
+        for name in ("feature_table", "reference_features", "instance_scores"):
+            held = self.__dict__.pop(name, None)
+            if held is not None:
+                held.unpersist()
 
     @cached_property
     def limits(self) -> dict[str, float]:
@@ -80,11 +94,16 @@ class Run:
         """Frame checks, largest scores, flags and their union."""
         names = {"count": "is_wrong_count", "sparse": "is_sparse", "confidence": "is_low_confidence", "instConfidence": "is_low_inst_confidence", "negative": "is_negative_with_instances", "duplicates": "has_duplicates", "outOfFrame": "is_out_of_frame"}
         checked = frame_checks.frame_checks(self.project, self.config)
-        scores = flags.rollup_max(self.instance_scores, list(self.limits))
-        joined = checked.join(scores, list(FRAME), "left").withColumns({f"flag_{k}": F.col(c) & F.lit(self.on(k)) for k, c in names.items()})
+        if self.limits:  # else no check needs a feature
+            checked = checked.join(flags.rollup_max(self.instance_scores, list(self.limits)), list(FRAME), "left")
+        joined = checked.withColumns({f"flag_{k}": F.col(c) & F.lit(self.on(k)) for k, c in names.items()})
         flagged = flags.flag_columns(joined, self.limits)
         for check in self.config.feature_checks:
             if check.on and check.feature in FEATURES:
                 hits = zscore.feature_check(self.instance_scores, self.zscore_fit, check.feature, check.threshold).select(*FRAME).distinct().withColumn(f"flag_{check.feature}", F.lit(True))
                 flagged = flagged.join(hits, list(FRAME), "left").fillna(False, [f"flag_{check.feature}"])
+        if self.appearance is not None:
+            worst = flags.rollup_max(self.appearance, ["appearance"])
+            odd = F.coalesce(F.col("appearance") >= self.appearance_threshold, F.lit(False))
+            flagged = flagged.join(worst, list(FRAME), "left").withColumn("flag_appearance", odd)
         return flagged.withColumn("frame_flagged", flags.any_of([c for c in flagged.columns if c.startswith("flag_")]))

@@ -387,6 +387,62 @@ def next_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.next_flagged(got, "is_wrong_count", "video_idx", "frame_idx").select(*FRAME, "next_flagged")
 
 
+_LISTED = f"""{COUNTS}, f AS (SELECT video_idx, frame_idx, NOT is_negative AND n <> expected_count AS w FROM counts JOIN expected USING (video_idx))"""
+
+
+@query(
+    f"""WITH {_LISTED} SELECT video_idx, frame_idx, coalesce(max(CASE WHEN w THEN frame_idx END) OVER (PARTITION BY video_idx ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    max(CASE WHEN w THEN frame_idx END) OVER (PARTITION BY video_idx)) AS previous_flagged FROM f"""
+)
+def previous_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = frame_checks.count_check(frame_checks.frame_table(derived(spark, sf_dir)))
+    return flags.previous_flagged(got, "is_wrong_count", "video_idx", "frame_idx").select(*FRAME, "previous_flagged")
+
+
+@query(
+    f"""WITH {_LISTED} SELECT video_idx, frame_idx, coalesce(lag(frame_idx) OVER o, max(frame_idx) OVER (PARTITION BY video_idx)) AS before,
+    coalesce(lead(frame_idx) OVER o, min(frame_idx) OVER (PARTITION BY video_idx)) AS after FROM f WHERE w WINDOW o AS (PARTITION BY video_idx ORDER BY frame_idx)"""
+)
+def listed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = frame_checks.count_check(frame_checks.frame_table(derived(spark, sf_dir)))
+    return flags.neighbours_in(got, F.col("is_wrong_count"), "video_idx", "frame_idx").select(*FRAME, "before", "after")
+
+
+_VERTICES = list(enumerate(CHAIN.spine))[1:-1]
+
+
+@query(
+    f"""SELECT video_idx, frame_idx, inst_idx, CASE {' '.join(f'WHEN round(abs(k{i}), 9) = m THEN {n}' for i, n in _VERTICES)} END AS blame_vertex
+    FROM (SELECT *, round(greatest({', '.join(f'abs(k{i})' for i, _ in _VERTICES)}), 9) AS m FROM {_CURVED} c) t"""
+)
+def worst_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = g.add_layers(derived(spark, sf_dir).instances, [*g.measures(CHAIN), *g.curvature(CHAIN.spine)])
+    steady = rows.withColumns({f"k{i}": F.round(F.abs(f"k{i}"), 9) for i, _ in _VERTICES})
+    return explain.worst_vertex(steady, CHAIN.spine).select(*KEY, "blame_vertex")
+
+
+@query()
+def patch_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every embedding packed to bytes and unpacked again."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    got = embeddings.unpacked(embeddings.packed(rows, "v", 4, 2, 16), dim=16)
+    return got.select("vec_id", F.length("packed").alias("n_bytes"), F.round(F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squares"))
+
+
+@query()
+def appearance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appearance scores of embeddings as a check of the frames they crop."""
+    project = derived(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    reference = embeddings.stratified_reference(rows, "label", "vec_id")
+    scored_ = embeddings.appearance_scores(rows, reference, "vec_id", "embedding", 4)
+    z = embeddings.robust_z(scored_, "score", ["label"]).withColumn("inst_idx", F.lit(0))
+    crops = project.instances.where("inst_idx = 0").select(*KEY).withColumn("vec_id", F.col("frame_idx"))
+    appearance = crops.join(z.select("vec_id", F.col("z").alias("appearance")), "vec_id").drop("vec_id")
+    run = Run(project, QCConfig(checks={"count": True}), appearance)
+    return run.frames.select(*FRAME, "flag_appearance", "frame_flagged")
+
+
 @query(
     f"""WITH {COUNTS}, f AS (SELECT floor(frame_idx * 40 / 200000.0) AS b, n, NOT is_negative AND n <> expected_count AS w FROM counts JOIN expected USING (video_idx))
     SELECT CAST(b AS BIGINT) AS bucket, max(n) AS worst, bool_or(w) AS flagged FROM f GROUP BY b"""

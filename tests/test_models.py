@@ -2,18 +2,33 @@
 
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from posekeel.functions.numeric import hull_batch, hull_measures
 from posekeel.operators import embeddings as e
 from posekeel.operators import mixture, structure, svm
-from posekeel.operators.structure import Chirality, judge_chirality, split_by_distance, split_pose
+from posekeel.operators.structure import Chirality, split_by_distance
 from posekeel.skeleton import Skeleton
 from posekeel.sources import bundles
 
 
+def judge_chirality(pose, model):
+    score, node = structure.judge_chirality(np.stack([pose, pose]), model)
+    assert score[0] == score[1] and node[0] == node[1]
+    return float(score[0]), int(node[0])
+
+
+def split_pose(pose, skeleton, lengths):
+    got = structure.split_poses(np.stack([np.full_like(pose, np.nan), pose]), skeleton, lengths)
+    assert got["score"][0] == 0 and got["bridge"][0].tolist() == [-1, -1]
+    bridge = tuple(got["bridge"][1].tolist())
+    return SimpleNamespace(score=got["score"][1], ratio=got["ratio"][1], gap=got["gap"][1], bridge=bridge if bridge[0] >= 0 else None)
+
+
 def test_scaler_and_density():
     mean, scale = mixture.scaler(np.array([[0.0], [2.0]]))
     assert mean[0] == 1 and scale[0] == 1
@@ -78,8 +93,8 @@ def test_chirality():
 
 
 def test_midline_order():
-    ranks = structure.midline_ranks(body(), [3, 0, 2, 1])
-    assert sorted(ranks, key=ranks.get) == [0, 1, 2, 3]
+    total, count = structure.midline_ranks(np.stack([body(), body()]), [3, 0, 2, 1])
+    assert np.argsort(total[:4]).tolist() == [0, 1, 2, 3] and count[:4].tolist() == [2] * 4 and not count[4:].any()
 
 
 CHAIN6 = Skeleton(tuple("abcdef"), tuple((i, i + 1) for i in range(5)))
@@ -203,3 +218,27 @@ def test_prototype(vectors):
     assert min(got[i] for i in (40, 41, 42)) > max(got[i] for i in range(40))
     assert e.prototype(df, F.lit(False), F.lit(True), "emb") is None
     assert e.rank_blend(df.withColumn("s", F.col("id") * 2.0), "id", "s", 0).where("blend <> id").count() == 0
+
+
+def test_hulls_of_batches():
+    rnd = np.random.default_rng(2)
+    poses = rnd.normal(size=(300, 9, 2)) * 50
+    poses[rnd.random((300, 9)) < 0.3] = np.nan
+    poses[:40] = np.round(poses[:40] / 40)  # points in line, and equal ones
+    area, compact = hull_batch(poses)
+    for p, a, c in zip(poses, area, compact):
+        one = hull_measures(p[~np.isnan(p).any(1)])
+        assert math.isclose(a, one["area"], abs_tol=1e-9) and math.isclose(c, one["compactness"], abs_tol=1e-9)
+
+
+def test_appearance_falls_back_and_says_so(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i), 0.0]) for i in range(12)], "vec_id long, v array<double>")
+    assert {r.scorer for r in e.appearance_scores(df, df, "vec_id", "v", 2).collect()} == {"knn"}
+    assert {r.scorer for r in e.appearance_scores(df, df, "vec_id", "v", 3).collect()} == {"patch"}
+
+
+def test_packed_tokens(spark):
+    df = spark.createDataFrame([(1, [float(i % 5) for i in range(32)]), (2, None)], "vec_id long, v array<double>")
+    got = {r.vec_id: r for r in e.unpacked(e.packed(df, "v", 4, 2, 8), dim=8).collect()}
+    assert len(got[1].packed) == 32 and got[2].packed is None and got[2].tokens is None
+    assert np.allclose(np.square(np.reshape(got[1].tokens, (4, 8))).sum(1), 1)
