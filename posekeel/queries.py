@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -533,16 +534,11 @@ def knn_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embeddings.knn_outlier(rows, ref, "vec_id", "embedding").select("vec_id", "knn"), "knn")
 
 
-@query(f"SELECT b.vec_id, round(2 - 2 * {DOT}, 4) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id = 7 AND b.vec_id <> 7 ORDER BY 2 - 2 * {DOT}, b.vec_id LIMIT 5")
-def nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(embeddings.nearest(table(spark, sf_dir, "embeddings"), 7, "vec_id", "embedding").select("vec_id", "distance"), "distance")
-
-
 @query(
     f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, 2 - 2 * {DOT} AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM d) SELECT query_id, vec_id, round(d, 4) AS distance FROM r WHERE r <= 5"""
 )
-def nearest_neighbors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of all rows for every row whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings")
     return rounded(embeddings.nearest_each(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding"), "distance")
@@ -591,31 +587,26 @@ def pca2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embeddings.pca2(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "pc1", "pc2")
 
 
+#: labelled rows of each of two groups that a classifier is fitted on, those of
+#: least hash: time and memory of the fit grow with the square of the rows
+SVM_GROUP_ROWS = 300
+
+
 @query()
 def svm_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on the labelled rows of two groups (300 at most), scored on all."""
+    """Fitted on SVM_GROUP_ROWS labelled rows of either group, scored on all."""
     rows = table(spark, sf_dir, "embeddings")
-    train = rows.where("label in (0, 1)").orderBy("vec_id").limit(300).toPandas()
+    parts = [rows.where(F.col("label") == g).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SVM_GROUP_ROWS).toPandas() for g in (0, 1)]
+    train = pd.concat(parts, ignore_index=True)
     model, _ = svm.fit_svm(np.stack(train["embedding"].to_numpy()), np.where(train["label"] == 0, 1, -1))
     return rounded(svm.svm_scores(rows.select("vec_id", "embedding"), model, "embedding").select("vec_id", "decision", "probability"), "decision", "probability")
 
 
-@query(f"SELECT a.label, b.label AS other, round(avg({DOT}), 4) + 0.0 AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 GROUP BY a.label, b.label")
-def group_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean similarity of a stated query set (ids divisible by 50) to each group:
-    group sums first, so no pairs are made."""
-    rows = table(spark, sf_dir, "embeddings")
-    sums = rows.select(F.col("label").alias("other"), F.posexplode("embedding").alias("d", "v")).groupBy("other", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    means = sums.groupBy("other").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("m"))
-    queries_ = rows.where("vec_id % 50 = 0").crossJoin(F.broadcast(means))  # one mean vector for each group
-    return queries_.groupBy("label", "other").agg((F.round(F.avg(dot(F.col("embedding"), F.col("m"))), 4) + 0.0).alias("similarity"))
-
-
 _GROUP_MEANS_SQL = "means AS (SELECT label, list(m ORDER BY d) AS m FROM (SELECT label, d, avg(v) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS d FROM embeddings) t GROUP BY label, d) u GROUP BY label)"
 
 
 @query(f"WITH {_GROUP_MEANS_SQL} SELECT a.label, b.label AS other, round(list_inner_product(a.m, b.m), 4) + 0.0 AS similarity FROM means a CROSS JOIN means b")
-def group_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity of all rows of each group to all rows of each group: the
     mean over pairs is the product of the groups' means."""
     sums = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))

@@ -39,17 +39,25 @@ def test_query(spark, duck, name):
 def test_group_similarity_counts_all_rows(spark, tmp_path):
     data = pd.DataFrame({"vec_id": [1, 2, 3, 50], "label": [0, 0, 1, 1], "embedding": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 0.0]]})
     data.to_parquet(tmp_path / "embeddings.parquet")
-    got = {(r.label, r.other): r.similarity for r in QUERIES["group_similarity_all"](spark, str(tmp_path)).collect()}
+    got = {(r.label, r.other): r.similarity for r in QUERIES["group_similarity"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): 0.5, (0, 1): 0.25, (1, 0): 0.25, (1, 1): 0.25}
 
 
 def test_every_query_row_has_its_neighbors(spark, duck, tmp_path):
     data = pd.DataFrame({"vec_id": range(8, 408), "label": 0, "embedding": [[float(i % 7), float(i % 3)] for i in range(400)]})
     data.to_parquet(tmp_path / "embeddings.parquet")
-    sql = ORACLES["nearest_neighbors_all"].replace("embeddings", f"'{tmp_path}/embeddings.parquet'")
-    got = QUERIES["nearest_neighbors_all"](spark, str(tmp_path)).toPandas()
+    sql = ORACLES["nearest_neighbors"].replace("embeddings", f"'{tmp_path}/embeddings.parquet'")
+    got = QUERIES["nearest_neighbors"](spark, str(tmp_path)).toPandas()
     assert set(got["query_id"]) == set(range(50, 408, 50)) and rows(got) == rows(duck.execute(sql).df())
-    assert QUERIES["nearest_neighbors"](spark, str(tmp_path)).count() == 0  # there is no id 7
+
+
+def test_nearest_of_one_row(spark):
+    from posekeel.operators import embeddings
+
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, v array<double>")
+    got = embeddings.nearest(frame, 1, "vec_id", "v", k=1).toPandas()
+    assert got[["vec_id", "distance"]].values.tolist() == [[3, 0.0]]
+    assert embeddings.nearest(frame, 7, "vec_id", "v").count() == 0  # there is no id 7
 
 
 def test_nearest_by_blocks(spark, monkeypatch):
