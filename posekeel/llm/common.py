@@ -154,7 +154,8 @@ class Block:
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Split a string column into blocks of whole texts."""
+    """Split a string column into blocks of whole texts.  After the last one
+    the worker gives free memory back, as the JVM beside it may need it."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -169,6 +170,8 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
         yield Block(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at], np.arange(at, to))
         at = to
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 # --------------------------------------------------------------- rolling hash
@@ -183,11 +186,11 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     up = _POWERS.get(which)
     if up is None or len(up[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES + 1024)
+        size = max(n, BLOCK_BYTES + 1024)
         base = BASES[which]
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         up = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (base, inverse))
-        if n <= 2 * BLOCK_BYTES + 1024:
+        if n <= BLOCK_BYTES + 1024:
             _POWERS[which] = up
     return up
 
@@ -247,7 +250,7 @@ def word_codes(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """Hash of each word, by stripes of bytes: a word that reaches over several
     is the sum of its parts, each shifted by the bytes before it."""
     n = len(block.data)
-    if n <= 2 * BLOCK_BYTES:
+    if n <= BLOCK_BYTES:
         return Rolling(BYTE_CODES[block.data])(starts, ends)
     raw = np.zeros(len(starts), np.uint64)
     base = int(BASES[0])

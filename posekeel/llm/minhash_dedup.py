@@ -35,6 +35,8 @@ BAND_ROWS = 3
 #: megabytes.  A shingle's frequency is known to a bin's share of all shingles of
 #: a document, about a two-thousandth of the documents, whatever the corpus.
 DF_BITS = 20
+#: bins that a task sends in one batch
+FREQUENCY_ROWS = 1 << 15
 #: centres of a group in each of the first rounds
 CENTRES = (1, 4)
 #: nodes outside the largest component that are held in a block, and members
@@ -93,18 +95,22 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             total += np.bincount(pairs & ((1 << DF_BITS) - 1), minlength=1 << DF_BITS)
             texts += len(np.unique(text))
     seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], texts))], names=["bin", "n"])
+    bins, n = np.append(seen, -1).astype(np.int32), np.append(total[seen], texts)
+    for at in range(0, len(bins), FREQUENCY_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + FREQUENCY_ROWS]) for c in (bins, n)], names=["bin", "n"])
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """Weight of each bin: log of the share of documents with a shingle in it,
-    over all documents; a tenth at least."""
-    table = docs.select("_text").mapInArrow(_document_frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    bins, n = table.column("bin").to_numpy(), table.column("n").to_numpy()
-    df = np.zeros(1 << DF_BITS)
-    df[bins[bins >= 0]] = n[bins >= 0]
-    total = float(n[bins < 0].sum()) if len(n) else 0.0
-    return np.maximum(np.log((1 + total) / (1 + df)), 0.1).astype(np.float32)
+    over all documents; a tenth at least.  Sums are of whole numbers; the driver
+    gets eight bytes a bin."""
+    counts = docs.select("_text").mapInArrow(_document_frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").cast("float").alias("n"))
+    df, total = np.zeros(1 << DF_BITS, np.float32), 0.0
+    for batch in counts.toArrow().to_batches():
+        bins, n = batch.column("bin").to_numpy(), batch.column("n").to_numpy()
+        df[bins[bins >= 0]] = n[bins >= 0]
+        total += float(n[bins < 0].sum())
+    return np.maximum(np.log(np.float32(1 + total) / (1 + df)), np.float32(0.1)).astype(np.float32)
 
 
 def samples(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray) -> np.ndarray:
