@@ -5,7 +5,12 @@ Expectation-maximisation over the counts of vote patterns, of all documents,
 estimates each labeller's accuracies and the posterior of every pattern.
 The posteriors of a bounded sample train a linear scorer over hashed byte
 n-grams, which then judges every document over its whole text.  No hand label
-is used for training; a labels table only measures the result.
+of quality is used for training; a labels table only measures the result.
+
+Abuse is another cause of rejection, which features of form cannot show: few
+words of an otherwise good text.  Where labelled rows are given, a bounded
+sample of them yields the words that tell abusive documents from others, and
+documents with such a word get that cause's probability on top.
 """
 
 from __future__ import annotations
@@ -15,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Block, Rolling, mixed, signed, text_blocks, word_codes, word_spans
+from .common import Block, Rolling, Workspace, mixed, signed, text_blocks, word_codes, word_spans
 
 #: documents, about, those of least hash, whose posteriors train the scorer
 TRAIN_DOCS = 4096
@@ -27,6 +33,14 @@ N_BUCKETS = 1 << 14
 GRAM_BYTES = 3
 EPOCHS = 150
 MIN_WORDS = 20
+#: labelled rows of each kind, about, those of least hash, from which abusive
+#: words are learnt; fewer abusive rows than the second are too few to learn from
+LABELLED_DOCS = 4096
+MIN_LABELLED = 20
+#: a word is abusive if it is in this share of the abusive rows at least, and of
+#: the rows with it (both kinds by their true numbers) this share is abusive
+ABUSE_SHARE = 0.02
+ABUSE_PRECISION = 0.95
 
 #: Labellers that vote bad beyond a limit of their feature (sign: +1 above,
 #: -1 below) and else abstain.
@@ -231,11 +245,14 @@ def train_scorer(sizes: np.ndarray, index: np.ndarray, value: np.ndarray, poster
     return weights / scale, float(bias)
 
 
-def _judge(weights: np.ndarray, bias: float, columns: list[str]):
+def _judge(weights: np.ndarray, bias: float, abuse: Abuse, columns: list[str]):
+    pattern = abuse.pattern()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column("_text")
             scores = np.full(len(batch), bias)
-            for block in text_blocks(batch.column("_text")):
+            for block in text_blocks(texts):
                 bucket = _buckets(block)
                 sums = np.concatenate([[0.0], np.cumsum(weights[bucket])])
                 lo, hi = _gram_limits(block)
@@ -243,11 +260,86 @@ def _judge(weights: np.ndarray, bias: float, columns: list[str]):
                 lo, hi = np.minimum(lo, len(sums) - 1), np.minimum(hi, len(sums) - 1)
                 scores[block.rows] += (sums[hi] - sums[lo]) / n + weights[bin_weights(features(block))].sum(1)
             bad = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+            if pattern:
+                found = pc.fill_null(pc.match_substring_regex(texts, pattern, ignore_case=True), False)
+                bad = 1 - (1 - bad) * np.where(found.to_numpy(zero_copy_only=False), 1 - abuse.precision, 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(bad)], names=[*columns, "p_bad"])
 
     return run
 
 
+def _hash_below(column: Column, share: float) -> Column:
+    """Whether a hash, spread evenly, is in this share of its range."""
+    return column <= min((1 << 63) - 1, int(min(1.0, share) * (1 << 64)) - (1 << 63))
+
+
+@dataclass
+class Abuse:
+    """Words that mark abuse, and the share of abusive ones among labelled rows with any."""
+
+    words: tuple[str, ...] = ()
+    precision: float = 0.0
+
+    def pattern(self) -> str:
+        """Any of the words, not inside of a longer one."""
+        return r"(?:^|[^\pL])(?:" + "|".join(self.words) + r")(?:[^\pL]|$)" if self.words else ""
+
+
+def cover(holders: dict[str, set[int]], n_docs: int, times: int = 3) -> list[str]:
+    """Words, each the one that is in most documents which hold fewer than
+    ``times`` earlier ones, until a word adds fewer than two documents or than one
+    in 500; ties by the word.  Of the many rare words that copies of one document
+    share, only so many are taken."""
+    out, need, left = [], {d: times for docs in holders.values() for d in docs}, dict(holders)
+    while left:
+        gain, best = min((-sum(need[d] > 0 for d in docs), word) for word, docs in left.items())
+        if -gain < max(2, n_docs / 500):
+            break
+        out.append(best)
+        for d in left.pop(best):
+            need[d] -= 1
+    return out
+
+
+def learn_abuse(df: DataFrame, labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> Abuse:
+    """Abusive words from a bounded sample of the labelled rows.
+
+    ``labelled`` has ``id_col`` and ``label_col`` (0 or false: clean; null: not
+    labelled); an id with several labels is abusive if any is.  Words are runs of
+    letters in lower case; equal texts are one, abusive if any is.  Too few
+    abusive rows, or none that are clean, give no words."""
+    marks = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int") != 0).alias("_abusive"))
+    total = {r["_abusive"]: r["count"] for r in marks.groupBy("_abusive").count().collect()}
+    if total.get(True, 0) < MIN_LABELLED or not total.get(False):
+        return Abuse()
+    share = {k: LABELLED_DOCS / n for k, n in total.items()}
+    place = F.xxhash64("_id")
+    few = marks.where((F.col("_abusive") & _hash_below(place, share[True])) | (~F.col("_abusive") & _hash_below(place, share[False])))
+    # some 2 * LABELLED_DOCS ids, whatever the size of either table
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(few), "_id")
+    texts = texts.groupBy(F.xxhash64("_text").alias("_h")).agg(F.max("_abusive").alias("_abusive"), F.first("_text").alias("_text"))
+    work = Workspace(df.sparkSession)
+    pairs = work.put("pairs", texts.select("_h", "_abusive", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")))
+    seen = {r["_abusive"]: r["n"] for r in pairs.groupBy("_abusive").agg(F.countDistinct("_h").alias("n")).collect()}
+    if not seen.get(True) or not seen.get(False):
+        return Abuse()
+    rate = {k: total[k] / seen[k] for k in total}
+    count = pairs.groupBy("word").agg(F.count_if("_abusive").alias("a"), F.count_if(~F.col("_abusive")).alias("c"))
+    telling = count.where((F.col("a") >= ABUSE_SHARE * seen[True]) & (F.col("a") * rate[True] * (1 - ABUSE_PRECISION) >= F.col("c") * rate[False] * ABUSE_PRECISION))
+    holders: dict[str, set[int]] = {}
+    clean = set()
+    for r in pairs.join(telling.select("word"), "word").select("word", "_h", "_abusive").toLocalIterator():
+        if r["_abusive"]:
+            holders.setdefault(r["word"], set()).add(r["_h"])
+        else:
+            clean.add((r["word"], r["_h"]))
+    work.drop("pairs")
+    words = cover(holders, seen[True])
+    right = len(set().union(*(holders[w] for w in words))) * rate[True]
+    wrong = len({h for w, h in clean if w in words}) * rate[False]
+    return Abuse(tuple(words), (right + 1) / (right + wrong + 2) if words else 0.0)
+
+
 def fit(df: DataFrame, id_col: str, text_col: str) -> tuple[Votes, np.ndarray, float]:
     """Vote counts cover every document; the scorer's sample is bounded."""
     source = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).alias("_text"))
@@ -258,11 +350,9 @@ def fit(df: DataFrame, id_col: str, text_col: str) -> tuple[Votes, np.ndarray, f
         return Votes(0.1, np.full(N_VOTERS, 0.9)), np.zeros(N_WEIGHTS), -1.0
     model = estimate_accuracies(digits, np.array([r["n"] for r in counted], float))
     posterior = dict(zip(patterns.tolist(), model.posterior(digits)))
-    # hashes are spread evenly: those below this share of their range are about
-    # TRAIN_DOCS documents, found without a sort and without moving other texts
-    share = min(1.0, TRAIN_DOCS / max(1, sum(r["n"] for r in counted)))
-    cut = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    least = source.where(F.col("_h") <= cut).groupBy("_h").agg(F.first("_text").alias("_text"))
+    # about TRAIN_DOCS documents, found without a sort and without moving other texts
+    share = TRAIN_DOCS / max(1, sum(r["n"] for r in counted))
+    least = source.where(_hash_below(F.col("_h"), share)).groupBy("_h").agg(F.first("_text").alias("_text"))
     sample = least.mapInArrow(_training_rows, "_h long, pattern long, index array<int>, value array<float>").toArrow()
     sample = sample.take(pa.array(np.argsort(sample.column("_h").to_numpy(), kind="stable"))).combine_chunks()  # sums in one order
     lists = {c: sample.column(c).combine_chunks() for c in ("index", "value")}
@@ -272,18 +362,23 @@ def fit(df: DataFrame, id_col: str, text_col: str) -> tuple[Votes, np.ndarray, f
     return model, weights, bias
 
 
-def quality_classifier(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Judge every row; all columns stay, p_bad (probability of low quality)
-    and kept (p_bad < threshold) are added, replacing columns of those names.
+def quality_classifier(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labelled: DataFrame | None = None, label_col: str = "toxic"
+) -> DataFrame:
+    """Judge every row; all columns stay, p_bad (probability of low quality or,
+    given labelled rows of ``id_col`` and ``label_col``, of abuse) and kept
+    (p_bad < threshold) are added, replacing columns of those names.
 
     Null texts are empty ones; texts under three bytes have no n-gram and are
     scored by their binned features alone; all labellers abstain under 20 words.
     Repeated rows get one score and are one row of the sample; ties in the
     sample's hash too; a very long text is scored whole by one worker; columns
-    with other names pass through; an empty table gives no rows.  The model is
-    fitted when this is called."""
+    with other names pass through; an empty table gives no rows; null ids and
+    labels teach nothing, and with fewer than 20 abusive labels there is no cause
+    but quality.  The model is fitted when this is called."""
     _, weights, bias = fit(df, id_col, text_col)
+    abuse = Abuse() if labelled is None else learn_abuse(df, labelled, id_col, text_col, label_col)
     own = [c for c in df.columns if c.lower() not in ("p_bad", "kept", "_text")]
     schema = T.StructType([df.schema[c] for c in own] + [T.StructField("p_bad", T.DoubleType())])
-    judged = df.select(*own, F.col(text_col).alias("_text")).mapInArrow(_judge(weights, bias, own), schema)
+    judged = df.select(*own, F.col(text_col).alias("_text")).mapInArrow(_judge(weights, bias, abuse, own), schema)
     return judged.withColumn("kept", F.col("p_bad") < threshold)

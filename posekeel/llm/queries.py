@@ -33,7 +33,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(read_table(spark, sf_dir, "documents")).select("doc_id", "p_bad", "kept")
+    got = quality_classifier(read_table(spark, sf_dir, "documents"), labelled=read_table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "p_bad", "kept")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
