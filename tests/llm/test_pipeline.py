@@ -27,7 +27,8 @@ def test_stages_take_effect(spark):
         seen.append(stage(spark, seen[-1], SF).persist())
     assert [f.columns for f in seen[1:-1]] == [columns] * 4
     quality, lines, one, clean, mixed = seen[1:]
-    assert ids(quality) == ids(quality_classifier(docs).where("kept"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert ids(quality) == ids(quality_classifier(docs, labelled=labels).where("kept"))
     assert set(ids(lines)) <= set(ids(quality)) and lines.where("n_chars <> length(text) and n_chars is not null").count() == 0
     classes = near_duplicates(lines).collect()
     assert ids(one) == sorted({r.class_id for r in classes})
