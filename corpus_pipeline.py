@@ -24,9 +24,10 @@ from posekeel.llm.quality_classifier import quality_classifier
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go: all that score at
-    its threshold or above.  Repeated rows get one score; documents without
-    words are scored by the classifier's bias and binned features."""
-    return quality_classifier(docs).where("kept").select(*docs.columns)
+    its threshold or above, for their form or for abuse as the labels table marks
+    it.  Repeated rows get one score; documents without words are scored by the
+    classifier's bias and binned features."""
+    return quality_classifier(docs, labelled=read_table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
 def remove_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
