@@ -28,7 +28,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
     return quality_rules(read_table(spark, sf_dir, "documents"), trusted).drop("score")
 
 
