@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from posekeel.config import QCConfig
+from posekeel.config import FEATURES, QCConfig
 from posekeel.operators import agreement, edits, explain, flags, labels
 from posekeel.plans.engine import Run
 from posekeel.plans.pose_view import KEY, derived
@@ -101,6 +101,14 @@ def test_run(spark, run):
     assert len(out.columns) == 27 and out.count() == scores.count()
 
 
+def test_export_of_ordering(spark):
+    frames = spark.createDataFrame([(0, 1, True)], "video_idx int, frame_idx long, frame_flagged boolean")
+    rows = spark.createDataFrame([(0, 1, 0, 0.5)], "video_idx int, frame_idx long, inst_idx int, anomaly double").withColumns({f: F.lit(0.0) for f in FEATURES})
+    off, on = (exports.as_text(exports.qc_results(x, frames)).first() for x in (rows, rows.withColumns({"order_inversion_rate": F.lit(0.5), "chain_intersection_count": F.lit(2)})))
+    assert (off.order_inversion_rate, off.chain_intersection_count) == ("0.0", "0.0") and len(off) == 27
+    assert (on.order_inversion_rate, on.chain_intersection_count) == ("0.5", "2.0")
+
+
 def test_queue_covers_every_instance(run):
     rows = run.instance_scores.select(*KEY, "anomaly", "gmm", F.col("max_angle_zscore").alias("angle"), F.col("mean_angle_zscore").alias("mean_angle"))
     queue = flags.proofreading_queue(rows, KEY, ["anomaly", "gmm", "angle", "mean_angle"])
