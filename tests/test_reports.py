@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posekeel.config import QCConfig
+from posekeel.operators import flags
 from posekeel.operators import reports as r
 from posekeel.plans.engine import Run
 from posekeel.plans.pose_view import KEY, derived
@@ -80,3 +81,9 @@ def test_removal_blame(run):
     assert got.where("node >= 0").count() > 0
     blamed = r.blamed_instances(run.instance_scores, ["anomaly", "gmm"])
     assert blamed.groupBy("check").count().count() == 2
+
+
+def test_rollup_ties_in_spite_of_last_bits(spark):
+    rows = [(0, 1, 0, 0.9984750276493372), (0, 1, 1, 0.9984750276493374), (0, 2, 0, 1 - 2e-14), (0, 2, 1, 1 - 1e-14), (0, 3, 0, 0.5), (0, 3, 1, 0.5000001), (0, 4, 0, None), (0, 4, 1, None)]
+    got = flags.rollup_max(spark.createDataFrame(rows, "video_idx int, frame_idx long, inst_idx int, anomaly double"), ["anomaly"]).collect()
+    assert {r.frame_idx: (r.anomaly, r.anomaly_inst) for r in got} == {1: (0.9984750276493374, 0), 2: (1 - 1e-14, 1), 3: (0.5000001, 1), 4: (None, 0)}
