@@ -7,6 +7,7 @@ from posekeel.config import FEATURES, QCConfig
 from posekeel.operators import agreement, edits, explain, flags, labels
 from posekeel.plans.engine import Run
 from posekeel.plans.pose_view import KEY, derived
+from posekeel.queries import QUERIES
 from posekeel.sinks import exports
 from posekeel.sources import projects, tables
 from posekeel.streaming import rescore
@@ -101,6 +102,12 @@ def test_run(spark, run):
     assert len(out.columns) == 27 and out.count() == scores.count()
 
 
+def test_quality_run_holds_nothing(spark):
+    plan = QUERIES["quality_run"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "Window" not in plan
+    assert plan.count("MapInPandas") == 2  # shapes, flips and splits in one worker, the mixture in another
+
+
 def test_export_of_ordering(spark):
     frames = spark.createDataFrame([(0, 1, True)], "video_idx int, frame_idx long, frame_flagged boolean")
     rows = spark.createDataFrame([(0, 1, 0, 0.5)], "video_idx int, frame_idx long, inst_idx int, anomaly double").withColumns({f: F.lit(0.0) for f in FEATURES})
