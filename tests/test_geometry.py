@@ -148,3 +148,47 @@ def test_numeric_helpers():
     assert len(normals) == 20001 and abs(normals.mean()) < 0.03 and abs(normals.std() - 1) < 0.03
     with pytest.raises(StopIteration):
         next(iter(()))
+
+
+def test_hull_of_points_in_a_line_is_found_in_batches(monkeypatch):
+    from posekeel.functions import numeric
+
+    poses = np.random.default_rng(3).integers(0, 6, (300, 6, 2)) * 0.25 + 100.0
+    poses = poses[[len(np.unique(p, axis=0)) == 6 for p in poses]]
+    poses[0] = [[k, 2 * k] for k in range(6)]  # all in one line
+    one_by_one = [numeric.hull_measures(p) for p in poses]
+    monkeypatch.setattr(numeric, "hull_measures", None)
+    area, compact = numeric.hull_batch(poses)
+    assert area.tolist() == [h["area"] for h in one_by_one]
+    assert np.allclose(compact, [h["compactness"] for h in one_by_one], rtol=1e-14, atol=0)
+
+
+def test_nearest_poses():
+    from posekeel.operators.features import nearest_distance
+
+    rng = np.random.default_rng(4)
+    reference = rng.normal(size=(200, 12))
+    query = np.vstack([reference[:3], rng.normal(size=(150, 12))])
+    expected = np.sort(np.sqrt(((query[:, None] - reference[None]) ** 2).sum(2)), axis=1)
+    one, two = nearest_distance(query, reference)
+    assert (one[:3] == 0).all() and np.allclose(one, expected[:, 0]) and np.allclose(two, expected[:, 1])
+    one, two = nearest_distance(query, reference, second=np.arange(153) % 2 == 0)
+    assert np.allclose(one, expected[:, 0]) and np.allclose(two[::2], expected[::2, 1]) and np.isinf(two[1::2]).all()
+    assert np.isinf(nearest_distance(query, reference[:1])[1]).all() and np.isinf(nearest_distance(query, reference[:0])[0]).all()
+
+
+def test_code_of_geometry_stays_compilable(spark):
+    from posekeel.functions import geometry as g
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    g.add_layers(spark.range(1), [{"one": "1"}])
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # HotSpot interprets longer methods
+
+
+def test_mixture_judges_in_one_go():
+    from posekeel.operators.mixture import fit_outliers
+
+    x = np.random.default_rng(5).normal(size=(200, 4))
+    model = fit_outliers(x, list("abcd"))
+    score, worst = model.judge(x)
+    assert (score == model.score(x)).all() and (worst == model.blame(x)[1]).all()
